@@ -69,6 +69,19 @@ def match_start(c: str, pattern: str) -> str:
     return f"length(regexp_extract({c}, {lit(f'{head}^((?s:.*?))(?:{rest})')}, 1))"
 
 
+def start_of(c: str, match: str, pattern: str) -> str:
+    """As :func:`match_start`, given the matched text.
+
+    The first place where that text stands is the match unless the pattern's word
+    boundaries fail there.  One more regex on just that text and its two neighbours
+    decides; only if it fails is the whole text searched again.  Not for patterns that
+    look further than one character around their match.
+    """
+    window = f"substring({c}, if(at > 1, at - 1, 1), length({match}) + if(at > 1, 2, 1))"
+    here = f"regexp_extract({window}, {lit(pattern)}, 0) = {match}"
+    return let("at", f"instr({c}, {match})", case((here, "at - 1"), otherwise=match_start(c, pattern)))
+
+
 # ---- addresses and domains --------------------------------------------------
 
 _DISPLAY_NAME = r"(?U)^(?:\"[^\"]+\"|[^\"(),:;<>@\[\]\\]*)\s*<\s*([^<>]+?)\s*>$"

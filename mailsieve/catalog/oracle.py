@@ -588,8 +588,18 @@ _prompt = "text"
 for _pattern, _no_case, _mask in V.PROMPT_PII:
     _prompt = _sub(_prompt, _pattern, _mask, "gi" if _no_case else "g")
 put("pii_prompt", f"SELECT doc_id, md5({_prompt}) AS redacted FROM documents")
-put("pii_log_parts", f"SELECT doc_id, md5({_sub('text', V.LOG_EMAIL, V.PII_MASK)}) AS email, md5({_sub('text', V.LOG_SSN, V.PII_MASK)}) AS ssn, "
-    f"md5({_sub('text', V.LOG_CARD, V.PII_MASK)}) AS card, md5({_sub('text', V.LOG_IPV4, chr(92) + '1.' + V.SECRET_MASK)}) AS ipv4 FROM documents")
+# RE2 takes only ASCII letters for word characters.  An ASCII mark on both sides of each
+# accented letter makes its boundaries the Unicode ones; the marks go away at the end.
+_MARK = "qZq"
+_MARKED = _sub("text", "([À-ÖØ-öø-ʯͰ-ԯ]+)", f"{_MARK}\\1{_MARK}")
+
+
+def _masked(pattern: str, mask: str) -> str:
+    return f"md5(replace({_sub(_MARKED, pattern, mask)}, {q(_MARK)}, ''))"
+
+
+put("pii_log_parts", f"SELECT doc_id, {_masked(V.LOG_EMAIL, V.PII_MASK)} AS email, {_masked(V.LOG_SSN, V.PII_MASK)} AS ssn, "
+    f"{_masked(V.LOG_CARD, V.PII_MASK)} AS card, {_masked(V.LOG_IPV4, chr(92) + '1.' + V.SECRET_MASK)} AS ipv4 FROM documents")
 put("pii_secret_keys", "SELECT email_id, '[REDACTED]' AS token, '[REDACTED]' AS auth, 'call 10.20.30.[REDACTED]' AS note, subject FROM emails")
 
 put("llm_extract_json", "SELECT email_id, attempt, js AS json FROM found")

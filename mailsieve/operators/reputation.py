@@ -20,34 +20,33 @@ NAME = "reputation"
 SIGNALS = ["urlhaus_listed", "phishtank_listed"]
 
 
-def listed_malware(feed: DataFrame | None, spark: SparkSession) -> DataFrame:
-    """Listed URLs with defaults filled in, one row per URL; no feed means no rows."""
-    if feed is None:
-        feed = spark.createDataFrame([], MALWARE_FEED)
-    hit = (
-        "min(named_struct('threat', coalesce(threat, 'malware_download'), "
-        "'url_status', coalesce(url_status, 'unknown'), "
-        f"'tags', slice(coalesce(tags, CAST(array() AS array<string>)), 1, {V.MAX_TAGS}), "
-        "'id', CAST(id AS STRING))) AS malware"
-    )
-    listed = feed.where("query_status = 'is_listed' AND url IS NOT NULL")
-    return listed.groupBy("url").agg(F.expr(hit))
-
-
-def listed_phish(feed: DataFrame | None, spark: SparkSession) -> DataFrame:
-    if feed is None:
-        feed = spark.createDataFrame([], PHISH_FEED)
-    hit = (
-        "min(named_struct('phish_id', coalesce(CAST(phish_id AS STRING), 'unknown'), "
-        "'page', coalesce(phish_detail_page, ''), 'verified', coalesce(verified, false))) AS phish"
-    )
-    confirmed = feed.where("in_database AND valid AND url IS NOT NULL")
-    return confirmed.groupBy("url").agg(F.expr(hit))
+_MALWARE = (
+    "named_struct('threat', coalesce(threat, 'malware_download'), "
+    "'url_status', coalesce(url_status, 'unknown'), "
+    f"'tags', slice(coalesce(tags, CAST(array() AS array<string>)), 1, {V.MAX_TAGS}), "
+    "'id', CAST(id AS STRING))"
+)
+_PHISH = (
+    "named_struct('phish_id', coalesce(CAST(phish_id AS STRING), 'unknown'), "
+    "'page', coalesce(phish_detail_page, ''), 'verified', coalesce(verified, false))"
+)
+_MALWARE_TYPE = "struct<threat:string,url_status:string,tags:array<string>,id:string>"
+_PHISH_TYPE = "struct<phish_id:string,page:string,verified:boolean>"
 
 
 def combine(malware: DataFrame | None, phish: DataFrame | None, spark: SparkSession) -> DataFrame:
-    """Both feeds as one table ``url, malware, phish``."""
-    return listed_malware(malware, spark).join(listed_phish(phish, spark), "url", "full")
+    """Both feeds as one table ``url, malware, phish``, one row per listed URL, with
+    defaults filled in.  No feed means no rows of it."""
+    malware = spark.createDataFrame([], MALWARE_FEED) if malware is None else malware
+    phish = spark.createDataFrame([], PHISH_FEED) if phish is None else phish
+    listed = malware.where("query_status = 'is_listed' AND url IS NOT NULL").selectExpr(
+        "url", f"CAST({_MALWARE} AS {_MALWARE_TYPE}) AS malware", f"CAST(NULL AS {_PHISH_TYPE}) AS phish"
+    )
+    confirmed = phish.where("in_database AND valid AND url IS NOT NULL").selectExpr(
+        "url", f"CAST(NULL AS {_MALWARE_TYPE}) AS malware", f"CAST({_PHISH} AS {_PHISH_TYPE}) AS phish"
+    )
+    both = listed.unionByName(confirmed)
+    return both.groupBy("url").agg(F.expr("min(malware) AS malware"), F.expr("min(phish) AS phish"))
 
 
 def hit_findings(url: str, malware: str, phish: str) -> str:

@@ -14,6 +14,7 @@ from mailsieve.operators import (
     attachments, content, custom, domains, findings, headers, limits, replies, reputation, reuse,
     score, temporal, validate,
 )
+from mailsieve.operators.lookup import cut_lineage
 from mailsieve.plans import reports, scoring
 from mailsieve.sources import mail
 from mailsieve.streaming import contact, dedup, rates, scoring as live
@@ -68,9 +69,8 @@ def _long(s: SparkSession, d: str) -> DataFrame:
 
 def _flat(df: DataFrame, column: str, *evidence: str) -> DataFrame:
     """Findings as flat rows with the named pieces of evidence."""
-    return df.selectExpr("email_id", f"explode({column}) AS f").selectExpr(
-        "email_id", "f.severity AS severity", "f.description AS description",
-        *[f"f.evidence[{lit(e)}] AS {e}" for e in evidence],
+    return findings.unfold(df, column).selectExpr(
+        "email_id", "severity", "description", *[f"evidence[{lit(e)}] AS {e}" for e in evidence]
     )
 
 
@@ -655,7 +655,7 @@ def _(s, d):
 
 @query("cac_hit")
 def _(s, d):
-    keyed = _keyed(s, d)
+    keyed = cut_lineage(_keyed(s, d))       # narrow, and read three times below
     return reuse.hits(keyed, _store(keyed), AS_OF).selectExpr(
         "email_id", "key", "verdict.semantic_score AS semantic_score"
     )
@@ -663,7 +663,7 @@ def _(s, d):
 
 @query("cac_miss")
 def _(s, d):
-    keyed = _keyed(s, d)
+    keyed = cut_lineage(_keyed(s, d))
     return reuse.misses(keyed, _store(keyed), AS_OF)
 
 

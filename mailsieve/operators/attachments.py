@@ -124,5 +124,8 @@ def add(df: DataFrame, *, only: Iterable[str] | None = None, to: str = "attachme
 
 def explode(df: DataFrame) -> DataFrame:
     """One row per named attachment, with its place in the mail."""
-    rows = df.selectExpr("email_id", f"posexplode({prepare('attachments')}) AS (position, a)")
-    return rows.select("email_id", "position", "a.*")
+    placed = (
+        f"transform({prepare('attachments')}, (a, i) -> named_struct('position', i, "
+        "'filename', a.filename, 'mime_type', a.mime_type, 'mime', a.mime, 'ext', a.ext, 'size', a.size))"
+    )
+    return df.selectExpr("email_id", f"inline({placed})")

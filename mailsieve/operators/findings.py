@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from mailsieve import fixed_values as V
 from mailsieve.functions.sql import case, lit
@@ -74,8 +74,13 @@ def finding_id(email_id: str, signal: str, ordinal: str) -> str:
 
 
 def unfold(df: DataFrame, findings: str, keep: Iterable[str] = ("email_id",)) -> DataFrame:
-    """Long form of one array column."""
-    return df.select(*keep, F.explode(findings).alias("f")).select(*keep, "f.*")
+    """Long form of one array column.
+
+    Not ``explode`` and not ``inline``: for these Catalyst infers "the list is not empty",
+    pushes that below the projections and so builds every list twice.  The outer form
+    gives the same rows once its all-null row for an empty list is dropped.
+    """
+    return df.selectExpr(*keep, f"inline_outer({findings})").where("signal IS NOT NULL")
 
 
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:

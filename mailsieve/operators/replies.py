@@ -251,9 +251,7 @@ def normalise(answers: DataFrame, json: str) -> DataFrame:
 
 def indicators(verdicts: DataFrame, keep: list[str]) -> DataFrame:
     """One row per social-engineering indicator."""
-    return verdicts.select(
-        *keep, F.explode("verdict.social_engineering_indicators").alias("i")
-    ).select(*keep, "i.*")
+    return verdicts.selectExpr(*keep, "inline(verdict.social_engineering_indicators)")
 
 
 def prompt(findings: str, sanitised: str) -> str:

@@ -78,8 +78,7 @@ def explode(df: DataFrame) -> DataFrame:
 def long_findings(links: DataFrame, listed: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Long form: one row per (mail, link, feed) hit."""
     hits = lookup(links, listed, "url", limit=limit)
-    both = f"explode({hit_findings('url', 'malware', 'phish')}) AS f"
-    return hits.selectExpr("email_id", "position", both).select("email_id", "position", "f.*")
+    return hits.selectExpr("email_id", "position", f"inline({hit_findings('url', 'malware', 'phish')})")
 
 
 def with_urls(df: DataFrame) -> DataFrame:

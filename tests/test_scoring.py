@@ -73,7 +73,7 @@ def test_scoring_moves_no_mail_and_reads_only_needed_columns(spark, sf_dir):
     scored = scoring.score_emails(W.emails(spark, sf_dir), as_of=W.AS_OF, listed=_listed(spark, sf_dir))
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(email_id" not in plan and "SortMergeJoin" not in plan
-    assert "lang" not in plan       # pruned from the scan
+    assert "lang:string" not in plan       # pruned from the scan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 

@@ -98,6 +98,9 @@ def add(
     """
     if listed is None:
         return df.selectExpr(*[c for c in df.columns if c != "_urls"], f"{NONE} AS {to}")
+    # measured and then joined: compute the feed once; it also keeps the ten joins below
+    # from planning the feed's aggregation ten times
+    listed = cut_lineage(listed)
     if bounded(listed, limit):
         return _probe(df, listed, to)
     # used twice below: keep the narrow rows instead of reading the bodies again

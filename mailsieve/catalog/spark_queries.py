@@ -510,12 +510,12 @@ def _(s, d):
 
 @query("pii_prompt")
 def _(s, d):
-    return W.table(s, d, "documents").selectExpr("doc_id", f"md5({redact.redact_prompt('text')}) AS redacted")
+    return mail.spread(W.table(s, d, "documents").select("doc_id", "text")).selectExpr("doc_id", f"md5({redact.redact_prompt('text')}) AS redacted")
 
 
 @query("pii_log")
 def _(s, d):
-    return W.table(s, d, "documents").selectExpr("doc_id", f"md5({redact.redact_log('text')}) AS redacted")
+    return mail.spread(W.table(s, d, "documents").select("doc_id", "text")).selectExpr("doc_id", f"md5({redact.redact_log('text')}) AS redacted")
 
 
 @query("pii_log_parts")
@@ -524,7 +524,7 @@ def _(s, d):
         "email": redact.redact_email, "ssn": redact.redact_ssn,
         "card": redact.redact_card, "ipv4": redact.redact_ipv4,
     }
-    return W.table(s, d, "documents").selectExpr(
+    return mail.spread(W.table(s, d, "documents").select("doc_id", "text")).selectExpr(
         "doc_id", *[f"md5({mask('text')}) AS {name}" for name, mask in masks.items()]
     )
 

@@ -7,10 +7,10 @@ broadcast.  Beyond the bound both sides shuffle, and keys that fill more than
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
+from mailsieve.functions.shared import shared_folder
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 SALTS = 64
@@ -66,16 +66,6 @@ def lookup(
     return left.drop("_hot").join(right, [key, "_salt"], how).drop("_salt")
 
 
-def shared_folder(spark) -> str:
-    """The checkpoint folder the cluster names; a folder of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder; survives the loss of executors."""
     shared_folder(df.sparkSession)

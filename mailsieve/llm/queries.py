@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsieve.functions.shared import new_path
-from mailsieve.llm import boundaries, packing
+from mailsieve.llm import boundaries, mixing, packing, secrets, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,27 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Target shares of the sources in the mix, out of a hundred; every other source shares one part in a hundred.
+SHARES = {"src0": 19, **{f"src{i}": 8 for i in range(1, 5)}, **{f"src{i}": 3 for i in range(5, 20)}}
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archive")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select(
+        "page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its source, its block there, the block's slot in the mix and its place in the block."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, SHARES)
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     pieces = packing.cut_documents(docs, _vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -34,9 +55,58 @@ def op7_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter("spans", lambda s: s["kind"].isin(secrets.KINDS))
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, rule string")
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_content_addressed_warc": op2_content_addressed_warc,
+    "op3_pfair_mixing": op3_pfair_mixing,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op7_elias_fano_ids": op7_elias_fano_ids,
+    "op9_secret_scans": op9_secret_scans,
+    "op10_url_sweep": op10_url_sweep,
 }
 
-ORACLE: dict[str, str] = {}
+# page_id order decides which of equal pages is stored; base32 from forty-bit groups of the digest
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d
+"""
+
+_URL_SQL = """
+WITH r(action, rule, h, p) AS (VALUES
+  ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+  ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+a AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS verdict
+FROM c LEFT JOIN LATERAL (
+  SELECT rule, action FROM r WHERE (c.host = h OR ends_with(c.host, '.' || h)) AND starts_with(c.path, p)
+  ORDER BY length(rule) DESC, length(h) DESC, action DESC LIMIT 1) best ON true
+"""
+
+ORACLE: dict[str, str] = {"op2_content_addressed_warc": _WARC_SQL, "op10_url_sweep": _URL_SQL}

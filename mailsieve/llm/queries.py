@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsieve.functions.shared import new_path
-from mailsieve.llm import boundaries, mixing, packing, secrets, urls, warc
+from mailsieve.llm import boundaries, mixing, packing, quality, secrets, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,14 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(digests)
 
 
+def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, trusted).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score",
+    )
+
+
 def op7_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = new_path(spark, "shards")
@@ -78,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_content_addressed_warc": op2_content_addressed_warc,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op6_ngram_ratio": op6_ngram_ratio,
     "op7_elias_fano_ids": op7_elias_fano_ids,
     "op9_secret_scans": op9_secret_scans,
     "op10_url_sweep": op10_url_sweep,

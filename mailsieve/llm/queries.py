@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsieve.functions.shared import new_path
-from mailsieve.llm import boundaries, mixing, packing, quality, secrets, urls, warc
+from mailsieve.llm import boundaries, mixing, packing, quality, secrets, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ SHARES = {"src0": 19, **{f"src{i}": 8 for i in range(1, 5)}, **{f"src{i}": 3 for
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archive")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -83,6 +92,7 @@ def op10_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_content_addressed_warc": op2_content_addressed_warc,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_harmonic_packing": op4_harmonic_packing,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsieve.functions.shared import new_path
-from mailsieve.llm import boundaries, mixing, packing, quality, secrets, toxicity, urls, warc
+from mailsieve.llm import boundaries, mixing, neardup, packing, quality, secrets, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op7_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op6_ngram_ratio": op6_ngram_ratio,
     "op7_elias_fano_ids": op7_elias_fano_ids,
+    "op8_weighted_minhash": op8_weighted_minhash,
     "op9_secret_scans": op9_secret_scans,
     "op10_url_sweep": op10_url_sweep,
 }

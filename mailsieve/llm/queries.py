@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsieve.functions.shared import new_path
-from mailsieve.llm import boundaries, mixing, neardup, packing, quality, secrets, toxicity, urls, warc
+from mailsieve.llm import boundaries, mixing, neardup, packing, quality, secrets, toxicity, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(digests)
 
 
+def op5_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_content_addressed_warc": op2_content_addressed_warc,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_sorted_projections": op5_sorted_projections,
     "op6_ngram_ratio": op6_ngram_ratio,
     "op7_elias_fano_ids": op7_elias_fano_ids,
     "op8_weighted_minhash": op8_weighted_minhash,

@@ -25,7 +25,7 @@ _WHITE = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 _DOUBLE = _WHITE + "{2}|\\x00"
 _SPACE = re.compile(r"(?<=\S)(?= \S)")
 # one Latin word, with a single sign after it or none: always one or two steps for the model
-_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+([.,;:!?]?)").fullmatch
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?]?)").fullmatch
 
 
 def _byte_letters() -> dict[int, str]:

@@ -96,12 +96,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, target_docs: int = TARGET
     grams = marked.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode(_grams(F.col("words"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     found = {r["bucket"]: (r["raw"], r["target"]) for r in counts.collect()}
-    raw_all, target_all = (sum(c[i] for c in found.values()) + SMOOTHING * BUCKETS for i in (0, 1))
-    if target_all == SMOOTHING * BUCKETS:
+    raw_all, target_all = (sum(c[i] for c in found.values()) for i in (0, 1))
+    if not target_all:
         return [0.0] * BUCKETS
-    base = log(raw_all) - log(target_all)
+    share = target_all / raw_all
     pairs = (found.get(b, (0, 0)) for b in range(BUCKETS))
-    return [round(log(t + SMOOTHING) - log(r + SMOOTHING) + base, 4) for r, t in pairs]
+    # counts against what the raw share would give, both with the same addition: 0 where little is known
+    return [round(log(t + SMOOTHING) - log(r * share + SMOOTHING), 4) for r, t in pairs]
 
 
 def judge(docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:

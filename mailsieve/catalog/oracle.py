@@ -632,3 +632,18 @@ put("udf_custom_analyzer", "SELECT email_id, 'long_subject' AS signal, 'LOW' AS
 put("udf_isolation", "SELECT email_id, CASE WHEN email_id % 10 IN (3, 4) THEN 0 ELSE 1 END AS n, "
     "CASE WHEN email_id % 10 NOT IN (3, 4) THEN CAST(length(subject) AS VARCHAR) END AS chars, "
     "CASE email_id % 10 WHEN 3 THEN 'ValueError: bad mail' WHEN 4 THEN 'unexpected result type: NoneType' END AS error FROM emails")
+
+# the first copy of a key passes, then the first that is 24 hours or more behind the last that passed
+_DATED = "SELECT k.key, e.send_ts AS ts, k.email_id FROM keyed k JOIN emails e ON e.email_id = k.email_id WHERE e.send_ts IS NOT NULL"
+ORACLE["str_dedup"] = ORACLE["cac_key"].replace("WITH ", "WITH RECURSIVE ", 1).rpartition("\n")[0] + f""",
+dated AS ({_DATED}),
+passed(key, ts, email_id) AS (
+  SELECT key, ts, email_id FROM dated QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts, email_id) = 1
+  UNION ALL
+  SELECT key, ts, email_id FROM (
+    SELECT d.*, row_number() OVER (PARTITION BY d.key ORDER BY d.ts, d.email_id) AS n
+    FROM passed p JOIN dated d ON d.key = p.key AND d.ts >= p.ts + INTERVAL 24 HOUR) WHERE n = 1)
+SELECT email_id, key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS sent FROM passed
+UNION ALL SELECT k.email_id, k.key, NULL FROM keyed k JOIN emails e ON e.email_id = k.email_id WHERE e.send_ts IS NULL"""
+ORACLE["str_rate_limit"] = ORACLE["rtl_decisions"]
+ORACLE["str_first_contact"] = ORACLE["tmp_first_contact"]

@@ -17,7 +17,7 @@ from mailsieve.operators import (
 from mailsieve.operators.lookup import cut_lineage
 from mailsieve.plans import reports, scoring
 from mailsieve.sources import mail
-from mailsieve.streaming import contact, dedup, rates, scoring as live
+from mailsieve.streaming import batches, contact, dedup, rates, scoring as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,18 +374,9 @@ _feed_rule("rep_both_feeds", True, True)
 
 @query("set_union_findings")
 def _(s, d):
-    """Long form: one DataFrame per analyzer, put together."""
-    e = W.emails(s, d)
-    links = reputation.long_findings(reputation.explode(e), _listed(s, d))
-    parts = [
-        findings.unfold(headers.add(e), "headers_findings"),
-        findings.unfold(domains.add(e, AS_OF.date()), "domains_findings"),
-        findings.unfold(attachments.add(e), "attachments_findings"),
-        findings.unfold(content.add(e), "content_findings"),
-        findings.unfold(temporal.add(e, AS_OF), "temporal_findings"),
-        links.drop("position"),
-    ]
-    return findings.union_all(parts).select("email_id", "analyzer", "signal", "type", "severity", "weight")
+    """Long form of all analyzers' findings, from one pass over the mails."""
+    mails = scoring.analyze(W.emails(s, d), AS_OF, listed=_listed(s, d))
+    return findings.unfold(mails, "findings").select("email_id", "analyzer", "signal", "type", "severity", "weight")
 
 
 @query("agg_det_score")
@@ -510,12 +501,12 @@ def _(s, d):
 
 @query("pii_prompt")
 def _(s, d):
-    return mail.spread(W.table(s, d, "documents").select("doc_id", "text")).selectExpr("doc_id", f"md5({redact.redact_prompt('text')}) AS redacted")
+    return W.table(s, d, "documents").select("doc_id", "text").selectExpr("doc_id", f"md5({redact.redact_prompt('text')}) AS redacted")
 
 
 @query("pii_log")
 def _(s, d):
-    return mail.spread(W.table(s, d, "documents").select("doc_id", "text")).selectExpr("doc_id", f"md5({redact.redact_log('text')}) AS redacted")
+    return W.table(s, d, "documents").select("doc_id", "text").selectExpr("doc_id", f"md5({redact.redact_log('text')}) AS redacted")
 
 
 @query("pii_log_parts")
@@ -524,7 +515,7 @@ def _(s, d):
         "email": redact.redact_email, "ssn": redact.redact_ssn,
         "card": redact.redact_card, "ipv4": redact.redact_ipv4,
     }
-    return mail.spread(W.table(s, d, "documents").select("doc_id", "text")).selectExpr(
+    return W.table(s, d, "documents").select("doc_id", "text").selectExpr(
         "doc_id", *[f"md5({mask('text')}) AS {name}" for name, mask in masks.items()]
     )
 
@@ -688,35 +679,58 @@ def _(s, d):
 # ---- streams ----------------------------------------------------------------
 
 
+def _live(rows: DataFrame, ts: str, handle: Callable[[str], batches.Handle], slices: int = 3) -> DataFrame:
+    """``rows`` landing in the shared folder in slices of time, each taken in by a run of its own
+    that goes on from the checkpoint of the one before; what has no time lands first."""
+    s = rows.sparkSession
+    folder = batches.work_folder(s)
+    step = handle(folder)
+    shares = [i / slices for i in range(1, slices)]
+    cuts = rows.agg(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), shares)).first()[0] or []
+    at = sum((F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    out = None
+    for i in range(slices):
+        rows.where(at == i).write.mode("append").parquet(f"{folder}/in")
+        out = batches.run(live.read(s, f"{folder}/in", 10_000), step, folder)
+    return out
+
+
 @query("str_score")
 def _(s, d):
-    docs = live.documents_stream(s, d)
-    mails = W.emails(s, d, documents=docs)
-    scored = live.scored(mails, AS_OF, _listed(s, d))
-    return live.run_once(
-        scored.select("email_id", "rule_score", "risk_level", "gate_reason", "finding_count")
-    )
+    docs = W.table(s, d, "documents").select("doc_id", "text", "n_chars")
+    stamps = W.emails(s, d).select(F.col("email_id").alias("doc_id"), "send_ts")
+    handle = live.scored(AS_OF, emails=lambda batch: W.emails(batch.sparkSession, d, documents=batch.drop("send_ts")), listed=_listed(s, d))
+    out = _live(docs.join(stamps, "doc_id"), "send_ts", lambda folder: handle)
+    return out.select("email_id", "rule_score", "risk_level", "gate_reason", "finding_count")
 
 
 @query("str_dedup")
 def _(s, d):
-    mails = W.emails(s, d, documents=live.documents_stream(s, d))
-    keyed = mails.selectExpr("email_id", "md5(body) AS key", "CAST(send_ts AS TIMESTAMP) AS ts")
-    return live.run_once(dedup.first_within(keyed.where("ts IS NOT NULL"), "key", "ts"))
+    stamps = W.emails(s, d).select("email_id", "send_ts")
+    keyed = _keyed(s, d).join(stamps, "email_id").selectExpr("email_id AS id", "key", "send_ts AS ts")
+    out = _live(keyed, "ts", lambda folder: dedup.first_within(batches.Parts(s, f"{folder}/times", dedup.STATE)))
+    return out.select(F.col("id").alias("email_id"), "key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sent"))
 
 
 @query("str_rate_limit")
 def _(s, d):
-    log = live.events_stream(s, d).selectExpr("event_id AS request_id", "user_id", "CAST(ts AS TIMESTAMP) AS ts")
-    return live.run_once(rates.decisions(log, per_minute=1, per_day=5))
+    def handle(folder):
+        return rates.decisions(batches.Parts(s, f"{folder}/counts", limits.COUNTS), per_minute=1, per_day=5)
+
+    out = _live(W.request_log(s, d), "ts", handle)
+    return out.selectExpr("request_id", "user_id", "rejected", "window AS limit_window")
 
 
 @query("str_first_contact")
 def _(s, d):
-    mails = W.emails(s, d, documents=live.documents_stream(s, d)).selectExpr(
-        "email_id", "sender", f"{text.recipient('headers')} AS recipient", "CAST(send_ts AS TIMESTAMP) AS ts"
-    )
-    return live.run_once(contact.first_contacts(mails))
+    mails = W.emails(s, d).selectExpr("email_id", "sender", f"{text.recipient('headers')} AS recipient", "send_ts AS ts")
+
+    def handle(folder):
+        return contact.first_contacts(batches.Parts(s, f"{folder}/pairs", contact.PAIRS), internal_domains=["paypal.com"])
+
+    # mails without a date come last in the batch operator
+    late = F.coalesce(F.col("ts"), F.lit("9999-01-01 00:00:00").cast("timestamp_ntz"))
+    return _live(mails.withColumn("_land", late), "_land", handle)
 
 
 # ---- extension points -------------------------------------------------------

@@ -9,7 +9,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.sources.mail import spread
 
 AS_OF = datetime(2024, 1, 25, 12, 0, 0)
 AS_OF_SQL = "TIMESTAMP '2024-01-25 12:00:00'"
@@ -164,20 +163,20 @@ SELECT email_id, user_id, n_chars, sender, subject, body, send_ts,
        CASE WHEN n_chars % 7 = 6 THEN 'v=1; a=rsa-sha256; d=example.com' END AS h_dkim_signature,
        registered_date, attach_kind
 FROM (
-  SELECT d.doc_id AS email_id, v.user_id, d.n_chars,
+  SELECT d.doc_id AS email_id, coalesce(v.user_id, 0) AS user_id, d.n_chars,
          CASE WHEN d.doc_id % 50 = 49 THEN 'not-an-address'
-              ELSE 'u' || CAST(v.user_id AS STRING) || '@' || {choose(m(20), DOMAINS)} END AS sender,
+              ELSE 'u' || CAST(coalesce(v.user_id, 0) AS STRING) || '@' || {choose(m(20), DOMAINS)} END AS sender,
          CASE WHEN d.doc_id % 97 = 96 THEN repeat('s', 999)
               ELSE 'Subject ' || CAST({m(17)} AS STRING) END AS subject,
          d.text || ' ' || {choose(m(17), PHRASES)} || ' ' || {choose(m(9), LINKS)}
-           || CASE WHEN {m(5)} = 4 THEN ' see ' || p.url ELSE '' END AS body,
+           || CASE WHEN {m(5)} = 4 THEN coalesce(' see ' || p.url, '') ELSE '' END AS body,
          CASE WHEN {m(11)} < 9 THEN CAST(date_trunc('second', {shifted}) AS {dialect["ntz"]}) END AS send_ts,
          'mx.example' || {auth} AS h_auth,
          {choose(m(6), REGISTERED)} AS registered_date,
          {m(12)} AS attach_kind
   FROM {dialect["documents"]} d
-  JOIN {dialect["events"]} v ON v.event_id = d.doc_id * 5
-  JOIN {dialect["pages"]} p ON p.page_id = CAST(floor(d.doc_id / 4) AS BIGINT)
+  LEFT JOIN {dialect["events"]} v ON v.event_id = d.doc_id * 5
+  LEFT JOIN {dialect["pages"]} p ON p.page_id = CAST(floor(d.doc_id / 4) AS BIGINT)
 )"""
 
 
@@ -283,8 +282,7 @@ def shape(flat: DataFrame) -> DataFrame:
 
 
 def emails(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
-    # the test file is one row group; a source with a split per core is not moved
-    given.setdefault("documents", spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")))
+    given.setdefault("documents", table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     return shape(_sql(spark, sf_dir, emails_sql(SPARK), **given))
 
 

@@ -21,6 +21,11 @@ _RFC2822 = (
     r",?[\s-]+(\d{2,4})\s+(\d{1,2})[:.](\d{1,2})(?:[:.](\d{1,2}))?"
     r"(?:\s*([+-]?\d{4}|[a-z]+))?(?:\s.*|\(.*)?$"
 )
+# the C library's order, year after the time, is put right first
+_YEAR_LAST = (
+    r"(?i)^(?:[a-z]+(?:,\s*|\s+))?(?:([a-z]+)\s+(\d{1,2})|(\d{1,2})\s+([a-z]+)),?\s+"
+    r"(\d{1,2}[:.]\d{1,2}(?:[:.]\d{1,2})?)\s+(\d{2,4})(\s.*)?$"
+)
 _SEP = "\u0001"
 
 
@@ -34,7 +39,8 @@ def parse_date(value: str) -> str:
 
     A missing, unknown or ``-0000`` zone counts as UTC.
     """
-    flat = f"regexp_replace({strip(value)}, {lit(_RFC2822)}, {lit(_SEP.join(f'${i}' for i in range(1, 10)))})"
+    usual = f"regexp_replace({strip(value)}, {lit(_YEAR_LAST)}, '$2$3 $1$4 $6 $5$7')"
+    flat = f"regexp_replace({usual}, {lit(_RFC2822)}, {lit(_SEP.join(f'${i}' for i in range(1, 10)))})"
     months = {name: i for i, name in enumerate(MONTHS, 1)}
     months |= {name[:3]: i for i, name in enumerate(MONTHS, 1)}
     year = let(

@@ -65,9 +65,12 @@ def _value(c: str, dtype: T.DataType, depth: int = 0) -> str:
     if isinstance(dtype, T.MapType):
         secret = f"rlike({k}, {lit(ignore_case(V.SECRET_KEYS))})"
         inner = _value(x, dtype.valueType, depth + 1)
-        # the mask is text: where a map holds something else, a secret becomes null
-        mask = lit(V.SECRET_MASK) if isinstance(dtype.valueType, T.StringType) else "NULL"
-        return f"transform_values({c}, ({k}, {x}) -> {case((secret, mask), otherwise=inner)})"
+        # the mask is text, so a map of something else becomes a map of texts
+        if isinstance(dtype.valueType, (T.ArrayType, T.MapType, T.StructType)):
+            inner = f"to_json({inner})"
+        elif not isinstance(dtype.valueType, T.StringType):
+            inner = f"CAST({inner} AS STRING)"
+        return f"transform_values({c}, ({k}, {x}) -> {case((secret, lit(V.SECRET_MASK)), otherwise=inner)})"
     if isinstance(dtype, T.StructType):
         fields = ", ".join(
             f"{lit(f.name)}, {_field(f'{c}.`{f.name}`', f, depth)}" for f in dtype.fields

@@ -150,12 +150,12 @@ def mime(value: str) -> str:
 # ---- links ------------------------------------------------------------------
 
 
-def urls(body: str, limit: int = V.MAX_URLS) -> str:
-    """Distinct links in order of first appearance, the first ``limit`` of them."""
+def urls(body: str, limit: int | None = None) -> str:
+    """Distinct links in order of first appearance: all, or the first ``limit`` of them."""
     found = f"regexp_extract_all({body}, {lit(ignore_case(V.URL))}, 0)"
     bare = f"transform({found}, u -> trim(TRAILING {lit(V.URL_TRAILING)} FROM u))"
     return case(
-        (f"contains({body}, '://')", f"slice(array_distinct({bare}), 1, {limit})"),
+        (f"contains({body}, '://')", f"array_distinct({bare})" if limit is None else f"slice(array_distinct({bare}), 1, {limit})"),
         otherwise="CAST(array() AS array<string>)",
     )
 

@@ -47,7 +47,7 @@ def _run(name: str, rule: Rule, mail: dict) -> tuple[list, str | None]:
             ))
         return out, None
     except Exception as exc:        # any failure is this row's and this analyzer's alone
-        return [], f"{type(exc).__name__}: {exc}"[:300]
+        return [], f"{type(exc).__name__}: {exc}"
 
 
 def python_analyzer(

@@ -1,17 +1,18 @@
 """Request limits per user: 60 per minute and 1000 per day, in tumbling buckets.
 
-Counting positions in a bucket with a plain window would put a hot user's whole day into
-one task.  Only the first requests of a bucket can pass, so each bucket is reduced to the
-one request at its limit: a ranking cut to `limit` rows, which Spark applies per map task
-before the shuffle.  Every request is then compared with the cuts of its two buckets.
+A request's place in its day is its place among the requests of its second, plus a count of
+the seconds before; its place in its minute is the difference to the minute's first request.
+No window holds more than one second of one user, whatever the limits are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsieve import fixed_values as V
-from mailsieve.operators.lookup import BROADCAST_BYTES, cut_lineage, lookup
+from mailsieve.functions.shared import cut, numbered
+
+COUNTS = "_user string, _day timestamp_ntz, _minute timestamp_ntz, _n bigint"
 
 
 def minute_bucket(ts: Column) -> Column:
@@ -22,15 +23,28 @@ def day_bucket(ts: Column) -> Column:
     return F.date_trunc("day", ts)
 
 
-def _cuts(log: DataFrame, bucket: str, limit: int, name: str) -> DataFrame:
-    """Bucket key and its last allowed request, for buckets that reach the limit."""
-    order = Window.partitionBy(bucket).orderBy("ts", "request_id")
-    ranked = log.select(bucket, "ts", "request_id").withColumn("_n", F.row_number().over(order))
-    return (
-        ranked.where(F.col("_n") <= limit)
-        .where(F.col("_n") == limit)
-        .select(bucket, F.struct("ts", "request_id").alias(name))
-    )
+def positions(log: DataFrame) -> DataFrame:
+    """``log(request_id, user_id, ts)`` with ``_in_minute`` and ``_in_day``, from 0, by time and id.
+
+    Requests without a user, and those without a time, are counted as one user's or at one time.
+    """
+    ts = F.coalesce(F.col("ts").cast("timestamp_ntz"), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
+    rows = cut(log.select("request_id", "user_id", "ts").withColumns({
+        "_user": F.coalesce(F.col("user_id").cast("string"), F.lit("")),
+        "_day": day_bucket(ts).cast("timestamp_ntz"),
+        "_minute": minute_bucket(ts).cast("timestamp_ntz"),
+    }), "log")
+    second = F.coalesce(F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"), F.lit(0))
+    order = [F.col("ts"), F.col("request_id")]
+    placed = cut(numbered(rows, ["_user", "_day"], order, second, "_in_day"), "placed")
+    first = placed.groupBy("_user", "_minute").agg(F.min("_in_day").alias("_first"))
+    return placed.join(first, ["_user", "_minute"]).withColumn("_in_minute", F.col("_in_day") - F.col("_first")).drop("_first")
+
+
+def decide(placed: DataFrame, per_minute: int, per_day: int) -> DataFrame:
+    """Decisions from places; refused requests still count; the minute is checked before the day."""
+    window = F.when(F.col("_in_minute") >= per_minute, "minute").when(F.col("_in_day") >= per_day, "day")
+    return placed.select("request_id", "user_id", "ts", window.isNotNull().alias("rejected"), window.alias("window"))
 
 
 def decisions(
@@ -38,30 +52,9 @@ def decisions(
     *,
     per_minute: int = V.REQUESTS_PER_MINUTE,
     per_day: int = V.REQUESTS_PER_DAY,
-    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """``log(request_id, user_id, ts)`` with ``rejected`` and ``window``.
-
-    Refused requests still count; the minute is checked before the day.
-    """
-    user = F.col("user_id").cast("string")
-    keyed = log.select(
-        "request_id", "user_id", "ts",
-        F.concat_ws("|", user, minute_bucket(F.col("ts")).cast("string")).alias("_minute"),
-        F.concat_ws("|", user, day_bucket(F.col("ts")).cast("string")).alias("_day"),
-    )
-    # the cuts are measured, then joined: keep them instead of ranking twice
-    minute_cuts = cut_lineage(_cuts(keyed, "_minute", per_minute, "_m"))
-    day_cuts = cut_lineage(_cuts(keyed, "_day", per_day, "_d"))
-    joined = lookup(keyed, minute_cuts, "_minute", "left", row_id="request_id", limit=limit)
-    joined = lookup(joined, day_cuts, "_day", "left", row_id="request_id", limit=limit)
-    here = F.struct("ts", "request_id")
-    over_minute = F.coalesce(here > F.col("_m"), F.lit(False))
-    over_day = F.coalesce(here > F.col("_d"), F.lit(False))
-    window = F.when(over_minute, "minute").when(over_day, "day")
-    return joined.select(
-        "request_id", "user_id", "ts", window.isNotNull().alias("rejected"), window.alias("window")
-    )
+    """``log(request_id, user_id, ts)`` with ``rejected`` and ``window``."""
+    return decide(positions(log), per_minute, per_day)
 
 
 def bucket_counts(log: DataFrame, width: str = "1 minute") -> DataFrame:
@@ -71,7 +64,3 @@ def bucket_counts(log: DataFrame, width: str = "1 minute") -> DataFrame:
         .agg(F.count("*").alias("requests"))
         .select(F.col("w.start").alias("bucket_start"), "user_id", "requests")
     )
-
-
-def over_limit(counts: DataFrame, limit: int = V.REQUESTS_PER_MINUTE) -> DataFrame:
-    return counts.where(F.col("requests") > limit)

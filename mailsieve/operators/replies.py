@@ -204,13 +204,15 @@ def fallback() -> str:
     })
 
 
-def pick(checked: DataFrame, key: str = "email_id") -> DataFrame:
-    """One verdict per mail: the first valid of at most two attempts, else the fallback.
+def pick(checked: DataFrame, key: str = "email_id", attempts: int | None = None) -> DataFrame:
+    """One verdict per mail: the first valid of all landed attempts, else the fallback.
+
+    ``attempts`` limits how many count; a set limit is the caller's choice, none is built in.
 
     A min-by aggregate, combined before the shuffle; ``attempt_used`` is null for the
     fallback, and such rows must never be stored for reuse.
     """
-    usable = checked.where(F.col("attempt") < V.REPLY_ATTEMPTS)
+    usable = checked if attempts is None else checked.where(F.col("attempt") < attempts)
     order = "CASE WHEN reason IS NULL THEN attempt END"
     best = usable.groupBy(key).agg(
         F.expr(f"min({order}) AS attempt_used"),

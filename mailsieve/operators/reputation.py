@@ -70,9 +70,9 @@ def hit_findings(url: str, malware: str, phish: str) -> str:
     ])
 
 
-def explode(df: DataFrame) -> DataFrame:
-    """One row per distinct link of a mail, at most ten per mail."""
-    return df.selectExpr("email_id", f"posexplode({urls('body')}) AS (position, url)")
+def explode(df: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """One row per distinct link of a mail; the first ``max_urls`` if that is set."""
+    return df.selectExpr("email_id", f"posexplode({urls('body', max_urls)}) AS (position, url)")
 
 
 def long_findings(links: DataFrame, listed: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -81,8 +81,8 @@ def long_findings(links: DataFrame, listed: DataFrame, *, limit: int = BROADCAST
     return hits.selectExpr("email_id", "position", f"inline({hit_findings('url', 'malware', 'phish')})")
 
 
-def with_urls(df: DataFrame) -> DataFrame:
-    return df.selectExpr(*df.columns, f"{urls('body')} AS _urls")
+def with_urls(df: DataFrame, max_urls: int | None = None) -> DataFrame:
+    return df.selectExpr(*df.columns, f"{urls('body', max_urls)} AS _urls")
 
 
 def add(
@@ -91,9 +91,13 @@ def add(
     *,
     limit: int = BROADCAST_BYTES,
     to: str = "reputation_findings",
+    max_urls: int | None = V.MAX_URLS,
 ) -> DataFrame:
     """Add the list of link findings; ``listed`` is what :func:`combine` returns.
 
+    The first ``max_urls`` links of a mail are looked up: a small feed is probed so many times
+    without moving a mail.  None looks up all links, in long form.
+
     Needs ``_urls`` (see :func:`with_urls`), so that bodies can be dropped before.
     """
     if listed is None:
@@ -101,27 +105,30 @@ def add(
     # measured and then joined: compute the feed once; it also keeps the ten joins below
     # from planning the feed's aggregation ten times
     listed = cut_lineage(listed)
-    if bounded(listed, limit):
-        return _probe(df, listed, to)
+    if max_urls is not None:
+        if bounded(listed, limit):
+            return _probe(df, listed, to, max_urls)
+        df = df.withColumn("_urls", F.slice("_urls", 1, max_urls))
     # used twice below: keep the narrow rows instead of reading the bodies again
     df = cut_lineage(df)
-    links = df.selectExpr("email_id", "posexplode(_urls) AS (position, url)")
-    hits = lookup(links, listed, "url", limit=limit)
-    # at most ten links per mail, so the groups are small
-    per_mail = hits.groupBy("email_id").agg(
-        F.expr("sort_array(collect_list(struct(position, url, malware, phish))) AS _hits")
-    )
+    kept = [c for c in df.columns if c != "_urls"]
+    per_mail = _hits(df.selectExpr("email_id", "posexplode(_urls) AS (position, url)"), listed, limit)
     found = f"flatten(transform(_hits, p -> {hit_findings('p.url', 'p.malware', 'p.phish')}))"
     joined = df.join(per_mail, "email_id", "left")
-    return joined.selectExpr(
-        *[c for c in df.columns if c != "_urls"], f"coalesce({found}, {NONE}) AS {to}"
+    return joined.selectExpr(*kept, f"coalesce({found}, {NONE}) AS {to}")
+
+
+def _hits(links: DataFrame, listed: DataFrame, limit: int) -> DataFrame:
+    """The listed links of each mail that has any, in order."""
+    return lookup(links, listed, "url", limit=limit).groupBy("email_id").agg(
+        F.expr("sort_array(collect_list(struct(position, url, malware, phish))) AS _hits")
     )
 
 
-def _probe(df: DataFrame, listed: DataFrame, to: str) -> DataFrame:
+def _probe(df: DataFrame, listed: DataFrame, to: str, max_urls: int) -> DataFrame:
     kept = [c for c in df.columns if c != "_urls"]
     out = df
-    for i in range(V.MAX_URLS):
+    for i in range(max_urls):
         side = listed.selectExpr(f"url AS _u{i}", f"malware AS _w{i}", f"phish AS _p{i}")
         at = F.expr(f"try_element_at(_urls, {i + 1}) = _u{i}")
         out = out.join(F.broadcast(side), at, "left")
@@ -129,7 +136,7 @@ def _probe(df: DataFrame, listed: DataFrame, to: str) -> DataFrame:
     probes = ", ".join(
         f"CASE WHEN _u{i} IS NOT NULL THEN "
         f"named_struct('url', _u{i}, 'malware', _w{i}, 'phish', _p{i}) END"
-        for i in range(V.MAX_URLS)
+        for i in range(max_urls)
     )
     found = (
         f"flatten(transform(array_compact(array({probes})), "

@@ -36,6 +36,7 @@ def analyze(
     keep: Iterable[str] = ("email_id",),
     extras: dict[str, Extra] | None = None,
     feed_limit: int = BROADCAST_BYTES,
+    max_urls: int | None = V.MAX_URLS,
 ) -> DataFrame:
     """``keep`` plus ``findings``, the ordered list of all findings of each mail.
 
@@ -64,7 +65,7 @@ def analyze(
     if listed is not None:
         slim = slim + ["_urls"] + (["email_id"] if "email_id" not in keep else [])
     df = df.select(*slim)
-    df = reputation.add(df, listed, limit=feed_limit)
+    df = reputation.add(df, listed, limit=feed_limit, max_urls=max_urls)
     order = [*names, *(extras or {})]
     return df.selectExpr(*keep, f"{merge(f'{n}_findings' for n in order)} AS findings")
 
@@ -127,11 +128,15 @@ def score_emails(
     keep: Iterable[str] = ("email_id",),
     extras: dict[str, Extra] | None = None,
     feed_limit: int = BROADCAST_BYTES,
+    max_urls: int | None = V.MAX_URLS,
 ) -> DataFrame:
-    """The whole way from mails to verdicts; works on batches, and on streams as long as
-    the feed is broadcast and there is no ``semantic`` table to outer-join."""
+    """The whole way from mails to verdicts, for a table or a micro-batch of any size.
+
+    ``max_urls`` links of a mail are looked up; None looks up all, at the price of a shuffle.
+    """
     analyzed = analyze(
-        emails, as_of, listed=listed, profile=profile, keep=keep, extras=extras, feed_limit=feed_limit
+        emails, as_of, listed=listed, profile=profile, keep=keep, extras=extras,
+        feed_limit=feed_limit, max_urls=max_urls,
     )
     return verdicts(analyzed, semantic)
 

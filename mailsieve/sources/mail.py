@@ -21,16 +21,6 @@ def stream_requests(spark: SparkSession, path: str, files_per_trigger: int = 64)
     return clean(source.json(path))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a source with fewer splits than cores; a large one is left alone.
-
-    A scan has one split per row group, so only a source of less than one row group per
-    core is ever moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def clean(requests: DataFrame) -> DataFrame:
     """Trim strings, reduce the sender to the bare address, put empty values for missing ones."""
     done = {
@@ -58,10 +48,11 @@ def to_emails(requests: DataFrame) -> DataFrame:
     )
 
 
-def extract_message(messages: DataFrame) -> DataFrame:
+def extract_message(messages: DataFrame, max_body_chars: int | None = None) -> DataFrame:
     """Raw messages (``sender, to, date, subject, reply_to, body, attachments``) as requests.
 
-    Five headers, the body cut to 500 000 characters, attachment metadata without content.
+    Five headers, the whole body, attachment metadata without content.  With ``max_body_chars``
+    the body is cut there, and ``body_truncated`` tells which bodies were.
     """
     date = "coalesce(date_format(date, \"EEE, dd MMM yyyy HH:mm:ss 'GMT'\"), '')"
     headers = (
@@ -72,7 +63,9 @@ def extract_message(messages: DataFrame) -> DataFrame:
         "transform(attachments, a -> named_struct('filename', coalesce(a.filename, ''), "
         "'mime_type', coalesce(a.mime_type, ''), 'size_bytes', coalesce(a.size_bytes, 0L)))"
     )
-    body = clip("coalesce(body, '')", V.MAX_EXTRACTED_BODY_CHARS)
+    text = "coalesce(body, '')"
+    body = text if max_body_chars is None else clip(text, max_body_chars)
+    flag = [] if max_body_chars is None else [f"length({text}) > {max_body_chars} AS body_truncated"]
     return messages.selectExpr(
         "email_id",
         "coalesce(sender, '') AS from_address",
@@ -80,4 +73,5 @@ def extract_message(messages: DataFrame) -> DataFrame:
         f"{body} AS body",
         f"{headers} AS headers",
         f"coalesce({files}, {_NO_FILES}) AS attachment_metadata",
+        *flag,
     )

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from mailsieve import fixed_values as V
-from mailsieve.functions.sql import fill
-
-
-def first_contacts(stream: DataFrame) -> DataFrame:
-    """The first mail to arrive per pair.  The state is the set of known pairs."""
-    first = stream.dropDuplicates(["recipient", "sender"])
-    return first.selectExpr(
-        "email_id", "sender", "recipient",
-        "'first_contact_sender' AS signal",
-        "'MEDIUM' AS severity",
-        f"{fill(V.TEXT_FIRST_CONTACT, sender='sender')} AS description",
-    )
+from mailsieve.operators import temporal
+from mailsieve.streaming.batches import Handle, Parts
+
+PAIRS = "sender string, recipient string"
+
+
+def first_contacts(pairs: Parts, *, history: DataFrame | None = None, internal_domains: list[str] | None = None) -> Handle:
+    """For ``batches.run`` over ``(email_id, sender, recipient, ts)``: the batch operator against all
+    earlier pairs, of earlier batches and of ``history``.  New pairs go to the table ``pairs``,
+    not into the memory of a state store."""
+
+    def handle(rows: DataFrame, batch: int) -> DataFrame:
+        known = pairs.before(batch)
+        if history is not None:
+            known = known.unionByName(history.select("sender", "recipient"))
+        found = temporal.first_contacts(rows, history=known.distinct(), internal_domains=internal_domains)
+        pairs.put(found.select("sender", "recipient"), batch)
+        return found
+
+    return handle

@@ -1,73 +1,45 @@
-"""Request limits on a live log: totals per bucket, and a decision per request."""
+"""Request limits on a live log."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mailsieve import fixed_values as V
-from mailsieve.operators.limits import bucket_counts
-
+from mailsieve.functions.shared import cut
+from mailsieve.operators import limits
+from mailsieve.streaming.batches import Handle, Parts
 
-def live_counts(log: DataFrame, width: str = "1 minute", late: str = "65 seconds") -> DataFrame:
-    """Totals per user and bucket; state goes with the watermark."""
-    return bucket_counts(log.withWatermark("ts", late), width)
+KEEP_DAYS = 2
 
 
 def decisions(
-    log: DataFrame,
+    counts: Parts,
     *,
     per_minute: int = V.REQUESTS_PER_MINUTE,
     per_day: int = V.REQUESTS_PER_DAY,
-) -> DataFrame:
-    """``log(request_id, user_id, ts)`` with ``rejected`` and ``window``, in order of arrival.
+    keep_days: int = KEEP_DAYS,
+) -> Handle:
+    """For ``batches.run`` over ``(request_id, user_id, ts)``: a decision for every request.
 
-    State is two counters per (user, day): the day's total, and the totals of its minutes.
-    Rows reach the function in Arrow batches, never as a whole group, so a busy user costs
-    no memory; the state is dropped once the day has passed.
+    Within a batch requests come by time and id, after all of earlier batches; late ones are
+    decided with the counters of their own day and minute.  ``counts`` holds a counter for each
+    user and minute; those more than ``keep_days`` behind the newest day are dropped.
     """
 
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        day_total, minutes = (state.get[0], dict(zip(*state.get[1:]))) if state.exists else (0, {})
-        for rows in batches:
-            minute = rows["ts"].dt.floor("min").astype("int64")
-            seen_before = minute.map(minutes).fillna(0).astype("int64")
-            in_minute = seen_before + rows.groupby(minute).cumcount() + 1
-            in_day = day_total + pd.RangeIndex(1, len(rows) + 1).to_series(index=rows.index)
-            for m, n in minute.value_counts().items():
-                minutes[int(m)] = minutes.get(int(m), 0) + int(n)
-            day_total += len(rows)
-            over_minute, over_day = in_minute > per_minute, in_day > per_day
-            window = pd.Series(None, index=rows.index, dtype="object")
-            window[over_day] = "day"
-            window[over_minute] = "minute"
-            yield pd.DataFrame(
-                {
-                    "request_id": rows["request_id"],
-                    "user_id": rows["user_id"],
-                    "rejected": over_minute | over_day,
-                    "window": window,
-                }
-            )
-        state.update((day_total, list(minutes), list(minutes.values())))
-        end = int(pd.Timestamp(key[1]).value // 1_000_000) + V.DAY_COUNTER_SECONDS * 1000
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-
-    watched = log.withWatermark("ts", f"{V.DAY_COUNTER_SECONDS} seconds")
-    daily = watched.withColumn("day", F.date_trunc("day", "ts"))
-    return daily.groupBy("user_id", "day").applyInPandasWithState(
-        step,
-        "request_id bigint, user_id bigint, rejected boolean, window string",
-        "day_total bigint, minutes array<bigint>, totals array<bigint>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    def handle(rows: DataFrame, batch: int) -> DataFrame:
+        known = counts.latest(batch)
+        placed = cut(limits.positions(rows), "placed")
+        now = placed.groupBy("_user", "_day", "_minute").agg(F.count("*").alias("_n"))
+        total = cut(known.unionByName(now).groupBy("_user", "_day", "_minute").agg(F.sum("_n").alias("_n")), "counts")
+        newest = total.agg(F.max("_day")).first()[0]
+        live = total if newest is None else total.where(F.col("_day") >= F.lit(newest) - F.expr(f"INTERVAL {keep_days} DAYS"))
+        counts.put(live, batch)
+        days = known.groupBy("_user", "_day").agg(F.sum("_n").alias("_before_day"))
+        minutes = known.select("_user", "_minute", F.col("_n").alias("_before_minute"))
+        moved = placed.join(days, ["_user", "_day"], "left").join(minutes, ["_user", "_minute"], "left").withColumns({
+            "_in_day": F.col("_in_day") + F.coalesce("_before_day", F.lit(0)),
+            "_in_minute": F.col("_in_minute") + F.coalesce("_before_minute", F.lit(0)),
+        })
+        return limits.decide(moved, per_minute, per_day)
+
+    return handle

@@ -1,55 +1,34 @@
-"""Scoring mails as they arrive.
-
-All rules are stateless and the feed is a stream-static broadcast join, so the stream
-keeps no state; a restart continues from the checkpoint in the shared folder.
-"""
+"""Scoring mails as they arrive: each micro-batch goes through the batch plan."""
 
 from __future__ import annotations
 
-import os
-import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.operators.lookup import shared_folder
 from mailsieve.plans.scoring import score_emails
+from mailsieve.streaming.batches import Handle
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    static = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # a pattern rather than the path, because the table may be one file or a folder
-    return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/{name}.parque[t]")
-
-
-def documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir, "documents")
-
-
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir, "events")
-
-
-def scored(emails: DataFrame, as_of: datetime, listed: DataFrame | None = None) -> DataFrame:
-    return score_emails(emails, as_of=as_of, listed=listed)
+def read(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A folder of Parquet files, oldest first."""
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    return source.option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder for one run, under the shared checkpoint folder."""
-    return os.path.join(shared_folder(spark), f"run-{uuid.uuid4().hex}")
+def scored(
+    as_of: datetime,
+    *,
+    emails: Callable[[DataFrame], DataFrame] | None = None,
+    listed: DataFrame | None = None,
+    semantic: DataFrame | None = None,
+    **options,
+) -> Handle:
+    """For ``batches.run``; ``emails`` makes the e-mail table from a batch, ``listed`` may have any size."""
 
+    def handle(rows: DataFrame, batch: int) -> DataFrame:
+        mails = emails(rows) if emails else rows
+        return score_emails(mails, as_of=as_of, listed=listed, semantic=semantic, **options)
 
-def run_once(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Process everything there is, then return what was written as a batch table."""
-    spark = stream.sparkSession
-    folder = folder or work_folder(spark)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/state")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return handle

@@ -532,6 +532,8 @@ put("att_explode", "SELECT email_id, position, filename, mime_type, size FROM fi
 put("prj_urls", "SELECT e.email_id, coalesce(string_agg(url, ' ' ORDER BY position), '') AS urls, CAST(count(url) AS INTEGER) AS n "
     "FROM emails e LEFT JOIN links l ON l.email_id = e.email_id GROUP BY e.email_id")
 put("rep_url_explode", "SELECT email_id, position, url FROM links")
+for _name in ("prj_urls", "rep_url_explode"):
+    ORACLE[f"{_name}_all"] = ORACLE[_name].replace(" QUALIFY row_number() OVER (PARTITION BY email_id ORDER BY first_at) <= 10", "")
 put("hdr_detail", f"SELECT email_id, {_texts(V.SPF_TEXT, 'spf1')} AS spf_text, {_texts(V.DKIM_TEXT, 'dkim')} AS dkim_text, {_texts(V.DMARC_TEXT, 'dmarc')} AS dmarc_text FROM auth")
 put("dom_fold", "SELECT email_id, domain, folded, folded_reg AS folded_registrable FROM dom")
 put("dom_subdomain_prefix", f"SELECT email_id, domain, brand FROM {_PREFIX}")

@@ -197,6 +197,15 @@ def _(s, d):
 
 @query("prj_urls")
 def _(s, d):
+    return W.emails(s, d).selectExpr(
+        "email_id", f"array_join({text.urls('body', V.MAX_URLS)}, ' ') AS urls",
+        f"size({text.urls('body', V.MAX_URLS)}) AS n",
+    )
+
+
+@query("prj_urls_all")
+def _(s, d):
+    """Without the original's limit."""
     return W.emails(s, d).selectExpr(
         "email_id", f"array_join({text.urls('body')}, ' ') AS urls", f"size({text.urls('body')}) AS n"
     )
@@ -346,6 +355,11 @@ def _(s, d):
 
 
 @query("rep_url_explode")
+def _(s, d):
+    return reputation.explode(W.emails(s, d), V.MAX_URLS)
+
+
+@query("rep_url_explode_all")
 def _(s, d):
     return reputation.explode(W.emails(s, d))
 
@@ -355,7 +369,7 @@ def _feed_rule(name: str, malware: bool, phish: bool) -> None:
         feed = reputation.combine(
             W.malware_feed(s, d) if malware else None, W.phish_feed(s, d) if phish else None, s
         )
-        hits = reputation.long_findings(reputation.explode(W.emails(s, d)), feed)
+        hits = reputation.long_findings(reputation.explode(W.emails(s, d), V.MAX_URLS), feed)
         return hits.selectExpr(
             "email_id", "position", "signal", "type", "severity", "description",
             "evidence['url'] AS url",

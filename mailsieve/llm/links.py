@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mailsieve.functions.shared import cut, drop
+from mailsieve.functions.shared import buckets, cut, drop
 
 MOST_ROUNDS = 60
+EDGES_PER_FILE = 200_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,13 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(pairs.distinct(), "edges")
     state = _state(now)
     for _ in range(MOST_ROUNDS):
+        files = buckets(state[0], EDGES_PER_FILE)  # few edges in many files would cost more to open than to read
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct(), "large")
+        large = cut(large.distinct().coalesce(files), "large")
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = cut(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "edges")
         then = _state(after)
         drop(large)
         drop(now)

@@ -24,6 +24,8 @@ BANDS, ROWS = 10, 4
 DF_BITS = 16
 HASH_BITS = 44
 TILE = 512
+PLAUSIBLE = 0.5  # share of common samples below which a pair is not compared; 0.8 falls short by chance once in 10^5
+MOST_MARKS = 1 << 28
 SLICE_BYTES = 2 << 20
 CHUNK = 1 << 15
 
@@ -173,7 +175,8 @@ def frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``doc_id, text_key, bands``: a digest of the text, and a hash for each band; null without words."""
+    """``doc_id, text_key, samples, bands``: a digest of the text, its samples as 4-byte numbers,
+    and a hash for each band; the last two null without words."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
@@ -181,36 +184,72 @@ def sketch(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             texts = column(batch, "text")
             for begin, n, rows, hashes in words(texts):
                 bands: list = [None] * n
+                kept: list = [None] * n
                 if len(rows):
                     owners, samples = sampler.sample(*shingles(rows, hashes, idf))
                     mixed = np.zeros((len(owners), BANDS), np.uint64)
                     for i in range(ROWS):
                         mixed = _mix(mixed * _Q + samples[:, i::ROWS][:, :BANDS])
-                    for row, keys in zip(owners, mixed.astype(np.int64).tolist()):
-                        bands[row] = keys
+                    for row, keys, line in zip(owners, mixed.astype(np.int64).tolist(), samples):
+                        bands[row], kept[row] = keys, line.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [*[column(batch, c).slice(begin, n) for c in ("doc_id", "text_key")], pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "bands"])
+                    [*[column(batch, c).slice(begin, n) for c in ("doc_id", "text_key")], pa.array(kept, pa.binary()),
+                     pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "samples", "bands"])
 
     rows = docs.select("doc_id", F.md5(F.col("text")).alias("text_key"), "text")
-    return rows.mapInArrow(sketched, "doc_id bigint, text_key string, bands array<bigint>")
+    return rows.mapInArrow(sketched, "doc_id bigint, text_key string, samples binary, bands array<bigint>")
 
 
-def vectors(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``doc_id`` and the hashes and weights of the text's shingles as 8- and 4-byte numbers."""
+def marks(ids: DataFrame, count: int) -> np.ndarray:
+    """A bitmap of hashes of ``ids(doc_id)``, 16 bits an id but at most ``MOST_MARKS`` bits."""
+    size = min(MOST_MARKS, 1 << max(10, (16 * count).bit_length()))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - size.bit_length() + 1)
+    words_ = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(size // 32, np.uint32)
+    out[words_["w"].to_numpy()] = words_["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def vectors(docs: DataFrame, idf: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """``doc_id, text_key`` and the hashes and weights of the text's shingles as 8- and 4-byte numbers.
+
+    Documents whose ids the bitmap ``wanted`` has, and the few others whose hashes are marked.
+    """
+    shift = 64 - (len(wanted) * 32).bit_length() + 1
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), shift)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = column(batch, "doc_id")
+        for whole in batches:
+            at = column(whole, "place").to_numpy(zero_copy_only=False)
+            batch = whole.filter(pa.array((wanted[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
             for begin, n, rows, hashes in words(column(batch, "text")):
                 owner, shingle, weight = shingles(rows, hashes, idf)
                 cuts = np.searchsorted(owner, np.arange(n + 1))
                 parts = [(shingle[a:b].tobytes(), weight[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, n), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())],
-                    ["doc_id", "hashes", "weights"])
+                    [*[column(batch, c).slice(begin, n) for c in ("doc_id", "text_key")],
+                     pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())],
+                    ["doc_id", "text_key", "hashes", "weights"])
+
+    rows = docs.where("doc_id is not null").select("doc_id", F.md5(F.col("text")).alias("text_key"), "text", place.alias("place"))
+    return rows.mapInArrow(made, "doc_id bigint, text_key string, hashes binary, weights binary")
+
+
+def plausible(members: DataFrame, least: float) -> DataFrame:
+    """The members ``set, doc_id, samples`` that share ``least`` of all samples with another of their set."""
+
+    def close(table: pa.Table) -> pa.Table:
+        lines = np.frombuffer(b"".join(table["samples"].to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        keep = np.zeros(len(lines), bool)
+        for i in range(len(lines) - 1):
+            near = (lines[i + 1 :] == lines[i]).mean(1) >= least
+            keep[i] |= near.any()
+            keep[i + 1 :] |= near
+        return table.select(["set", "doc_id"]).filter(pa.array(keep))
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id bigint, hashes binary, weights binary")
+    return members.select("set", "doc_id", "samples").groupBy("set").applyInArrow(close, "set string, doc_id bigint")
 
 
 def linked(ids: list[int], hashes: list[bytes], weights: list[bytes], label: list[int], similarity: float) -> list[tuple[int, int]]:
@@ -272,28 +311,34 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     rows = cut(sketch(docs, idf), "sketches")
     # equal texts are one from here on
     texts = cut(rows.where("text_key is not null and doc_id is not null").groupBy("text_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "texts")
-    nodes = texts.groupBy("doc_id").agg(F.min(F.struct("text_key", "bands")).alias("t"))
-    banded = nodes.select("doc_id", "t.*").where("bands is not null").select("doc_id", "text_key", F.posexplode("bands").alias("band", "key"))
+        F.min("doc_id").alias("doc_id"), F.first("samples").alias("samples"), F.first("bands").alias("bands")), "texts")
+    nodes = texts.groupBy("doc_id").agg(F.min(F.struct("text_key", "samples", "bands")).alias("t"))
+    nodes = nodes.select("doc_id", "t.*").where("bands is not null")
+    banded = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     sets = banded.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("leader"), F.bit_xor(F.xxhash64("doc_id")).alias("x"),
         F.sum(F.shiftright(F.xxhash64(F.lit(7), "doc_id"), 24)).alias("s")).where("n > 1")
     # the same texts often meet in several bands: one of these is enough
     sets = sets.groupBy("n", "leader", "x", "s").agg(F.min(F.struct("band", "key")).alias("b"))
     sets = sets.select("b.band", "b.key", "n", "leader", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    members = cut(banded.join(sets, ["band", "key"]).withColumn(
+    members = cut(banded.join(sets, ["band", "key"]).join(nodes.select("doc_id", "text_key", "samples"), "doc_id").withColumn(
         "tile", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.col("tiles")).cast("int")), "members")
-    needed = members.select("doc_id", "text_key").distinct()
-    wanted = docs.join(needed, "doc_id").where(F.md5(F.col("text")) == F.col("text_key")).dropDuplicates(["doc_id"])
-    shapes = cut(vectors(wanted, idf), "shapes")
     # every tile with its set's leader; tiles of the same set meet in it
     name = lambda *c: F.concat_ws(":", "band", "key", *c)
-    first = members.where("doc_id != leader").select(name("tile").alias("set"), "doc_id").unionByName(
-        members.where("doc_id != leader").select(name("tile").alias("set"), F.col("leader").alias("doc_id")).distinct())
+    small = plausible(members.where("tiles = 1").withColumn("set", name("tile")), PLAUSIBLE)
+    wide = members.where("tiles > 1")
+    first = wide.where("doc_id != leader").select(name("tile").alias("set"), "doc_id")
+    leaders = wide.where("doc_id != leader").select(name("tile").alias("set"), F.col("leader").alias("doc_id")).distinct()
+    first = cut(small.unionByName(first).unionByName(leaders), "sets")
+    needed = first.select("doc_id").distinct().join(nodes.select("doc_id", "text_key"), "doc_id")
+    needed = cut(needed, "needed")
+    drawn = vectors(docs, idf, marks(needed, needed.count()))
+    shapes = cut(drawn.join(needed, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]), "shapes")
+    shapes = shapes.drop("text_key")
     edges = cut(_compare(first.withColumn("label", F.col("doc_id")), shapes, similarity), "links")
     found = cut(components(edges), "components")
     # sets of many tiles that are not one component yet: tiles against tiles
-    wide = members.where("tiles > 1").join(found, F.col("doc_id") == F.col("node"), "left").withColumn(
+    wide = wide.drop("samples", "text_key").join(found, F.col("doc_id") == F.col("node"), "left").withColumn(
         "label", F.coalesce("component", "doc_id"))
     apart = wide.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     if not apart.isEmpty():
@@ -302,7 +347,8 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
         pairs = pairs.where("tile != with").select(
             name(F.least("tile", "with"), F.greatest("tile", "with")).alias("set"), "doc_id", "label")
         more = cut(_compare(pairs, shapes, similarity), "links")
-        found = cut(components(edges.unionByName(more)), "components")
+        stars = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = cut(components(stars.unionByName(more)), "components")
     exact = rows.select("doc_id", "text_key").join(
         texts.select("text_key", F.col("doc_id").alias("first")), "text_key", "left")
     final = exact.withColumn("first", F.coalesce("first", "doc_id")).join(found, F.col("first") == F.col("node"), "left")

@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_PIECES = 600_000
-SLICE_BYTES = 8 << 20
+MEMO_PIECES = 300_000
+SLICE_BYTES = 4 << 20
 
 # white space next to white space: such texts are cut with more care
 _WHITE = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -30,7 +30,7 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model).select(
-        "doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score",
+        "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
 

@@ -20,13 +20,14 @@ from mailsieve.functions.shared import ship
 from mailsieve.llm.tokens import column
 
 GRAMS = (5, 8)
-BITS = 18
+BITS = 24
 TWICE = 1 << BITS  # added to a bucket found twice or more
-SLICE_BYTES = 4 << 20
-POSITIVES, UNLABELLED = 2_500, 7_500
-# features in the model: in so many toxic texts, by so large a log-likelihood ratio (Poisson) more
+COARSE = 6  # bits left out of a bucket in the first look at whether the model knows it
+SLICE_BYTES = 1 << 20
+POSITIVES, UNLABELLED = 1_200, 2_800
+# features in the model: in so many toxic texts and so large a part of them, by so large a log-likelihood ratio (Poisson) more
 # than unlabelled text has, and with so large a toxic share among their texts, by Bayes' rule
-LEAST_DOCS, LEAST_LEAN, LEAST_SHARE = 5, 12.0, 0.5
+LEAST_DOCS, LEAST_PART, LEAST_LEAN, LEAST_SHARE = 5, 0.02, 12.0, 0.5
 STEPS, RATE, DECAY, ASCENT = 400, 0.05, 1e-4, 1.0
 THRESHOLD = 0.7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -79,50 +80,66 @@ def fold(doc_id: Column) -> Column:
 
 
 class Model:
-    """``table``: a weight for each feature; ``bias`` None stands for a model without positives."""
+    """``keys``: the features it knows, in order, and their ``weights``; ``bias`` None stands for
+    a model without positives."""
 
-    def __init__(self, table: np.ndarray, bias: float | None):
-        self.table, self.bias = table, bias
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float | None):
+        self.keys, self.weights, self.bias = keys, weights, bias
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), 0.0)
         if self.bias is None:
             return out
-        live = (self.table[:TWICE] != 0) | (self.table[TWICE:] != 0)
+        known = np.unique(self.keys % TWICE)
+        coarse = np.zeros(TWICE >> COARSE, bool)
+        coarse[known >> COARSE] = True
         for begin, n, row, bucket in grams(texts):
-            hit = live[bucket]
+            hit = coarse[bucket >> COARSE]
+            row, bucket = row[hit], bucket[hit]
+            hit = np.isin(bucket, known)
             at, feature = features(row[hit], bucket[hit])
-            sums = np.bincount(at, self.table[feature], minlength=n)
+            place = np.minimum(np.searchsorted(self.keys, feature), max(0, len(self.keys) - 1))
+            there = self.keys[place] == feature if len(self.keys) else np.zeros(0, bool)
+            sums = np.bincount(at[there], self.weights[place[there]], minlength=n)
             out[begin : begin + n] = 1 / (1 + np.exp(-np.clip(sums + self.bias, -500, 500)))
         return out
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """The non-negative risk estimator with logistic loss, by full-batch Adam steps."""
-    table = np.zeros(2 * TWICE)
+    none = np.zeros(0, np.int64)
     if not positive or not unlabelled or not 0 < prior < 1:
-        return Model(table, None)
-    seen = [np.bincount(np.concatenate(docs), minlength=2 * TWICE) for docs in (positive, unlabelled)]
-    expected = (seen[1] + 0.5) * len(positive) / len(unlabelled)
-    count = np.maximum(seen[0], 1)
+        return Model(none, none, None)
+    keys, count = np.unique(np.concatenate(positive), return_counts=True)
+    often = count >= max(LEAST_DOCS, LEAST_PART * len(positive))
+    keys, count = keys[often], count[often]
+
+    def places(doc: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return none
+        at = np.minimum(np.searchsorted(keys, doc), len(keys) - 1)
+        return at[keys[at] == doc]
+
+    seen = np.zeros(len(keys))
+    for doc in unlabelled:
+        seen[places(doc)] += 1
+    expected = (seen + 0.5) * len(positive) / len(unlabelled)
     lean = (count > expected) & (count * np.log(count / expected) - count + expected >= LEAST_LEAN)
-    chosen = np.flatnonzero(lean & (count >= LEAST_DOCS) & (prior * count >= LEAST_SHARE * expected))
-    place = np.full(2 * TWICE, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
+    chosen = lean & (prior * count >= LEAST_SHARE * expected)
+    keys = keys[chosen]
 
     def matrix(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        at = place[np.concatenate(docs)]
-        row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        return row[at >= 0], at[at >= 0], len(docs)
+        kept = [places(d) for d in docs]
+        return np.repeat(np.arange(len(docs)), [len(k) for k in kept]), np.concatenate(kept).astype(np.int64), len(docs)
 
     sets = matrix(positive), matrix(unlabelled)
-    w = np.zeros(len(chosen) + 1)
+    w = np.zeros(len(keys) + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
 
     def gradient(data, slopes: np.ndarray) -> np.ndarray:
         row, at, _ = data
-        return np.append(np.bincount(at, slopes[row], minlength=len(chosen)), slopes.sum())
+        return np.append(np.bincount(at, slopes[row], minlength=len(keys)), slopes.sum())
 
     for step in range(1, STEPS + 1):
         z_p, z_u = (np.bincount(r, w[a], minlength=n) + w[-1] for r, a, n in sets)
@@ -134,8 +151,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         g[:-1] += DECAY * w[:-1]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    table[chosen] = w[:-1]
-    return Model(table, float(w[-1]))
+    return Model(keys.astype(np.int64), w[:-1], float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED,

@@ -37,11 +37,11 @@ def piece_lengths(tokens: np.ndarray, capacity: int, least: int) -> tuple[np.nda
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, byte_level: bool = True,
-                  capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
+                  capacity: int = CAPACITY, least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: every id, the end id included, is in exactly one.
 
     A null text is empty and has the end id alone; a null doc_id is kept; repeated rows are
-    packed each on their own.
+    packed each on their own.  Each piece also has its document's columns ``carry``.
     """
     if capacity & (capacity - 1) or least & (least - 1) or not 0 < least <= capacity:
         raise ValueError("capacity and least are powers of two, least not above capacity")
@@ -69,24 +69,35 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, byte_level: bool
                 )
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.slice(first, n).take(pa.array(row)), pa.array(starts), pa.array(lengths),
-                     pa.array(tokens[row]), data],
-                    ["doc_id", "start", "length", "doc_tokens", "ids"],
+                     pa.array(tokens[row]), data, *[column(batch, c).slice(first, n).take(pa.array(row)) for c in carry]],
+                    ["doc_id", "start", "length", "doc_tokens", "ids", *carry],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pieces, PIECE)
+    fields = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry).mapInArrow(pieces, PIECE + fields)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ()) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; other columns stay.
 
     Only the last, incomplete bin of each class is looked at as a whole: there are at most as
     many as classes, so the driver shares them out, the fullest first.
+
+    With columns ``order``, the pieces of each class fill its bins in their order, and a
+    sequence's number is the place of its last piece among those that fill a bin; the
+    incomplete bins come last.  So the first sequences hold the first pieces, but for those in
+    one open bin of each class.  Without, pieces are dealt by hash.
     """
     spark = pieces.sparkSession
     rows = cut(pieces.withColumn("class", (F.lit(capacity) / F.col("length")).cast("int")), "pieces")
-    spread = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets(rows.count()))).cast("int")
-    order = [F.col("doc_id"), F.col("start"), F.col("doc_tokens"), F.xxhash64(*pieces.columns)]
-    rows = cut(numbered(rows, ["class"], order, spread, "number"), "numbered")
+    along = [F.col(c) for c in order]
+    if order:
+        ranges = rows.repartitionByRange(buckets(rows.count()), *along).withColumn("_range", F.spark_partition_id())
+        rows, spread, by = cut(ranges, "ranges"), F.col("_range"), along
+    else:
+        spread = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets(rows.count()))).cast("int")
+        by = [F.col("doc_id"), F.col("start"), F.col("doc_tokens"), F.xxhash64(*pieces.columns)]
+    rows = cut(numbered(rows, ["class"], by, spread, "number"), "numbered")
     sizes = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect()}
     base, bins = {}, 0
     for k in sorted(sizes):
@@ -107,6 +118,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         shelf[rest["class"]] = bins + at
         filled[at] += rest["n"]
     full = (table(base) + F.floor(F.col("number") / F.col("class"))).cast("bigint")
+    if order:
+        last = rows.where(~left & (F.col("number") % F.col("class") == F.col("class") - 1)).withColumn("_bin", full).withColumn("_all", F.lit(0))
+        closed = numbered(last, ["_all"], along, F.col("_range"), "_closed").select("_bin", "_closed")
+        rows = rows.withColumn("_bin", F.when(~left, full)).join(closed, "_bin", "left")
+        full = F.col("_closed").cast("bigint")
     sequence = F.when(left, table(shelf).cast("bigint")).otherwise(full) if shelf else full
     before = Window.partitionBy("sequence_id").orderBy("class", "number").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("sequence_id", sequence).select(

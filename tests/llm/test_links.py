@@ -205,3 +205,25 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert ids["mixing"] != ids["secrets"]
     assert set(ids["packing"]) == kept
     assert corpus_pipeline.run(spark, sf_dir).count() == states["packing"].count()
+
+
+def test_sequences_follow_the_mix(spark, sf_dir):
+    shares = {"src0": 19, "src1": 8, "src5": 3}
+    names = [s for s, n in shares.items() for _ in range(n * 64)]
+    rows = [(i, "one two three " * 60, s) for i, s in enumerate(names)] + [(None, "null id", "src0"), (0, "again", "src1"), (None, None, None)]
+    placed = corpus_pipeline.pack(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), sf_dir).collect()
+    assert placed[0].__fields__ == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "sequence_id", "offset"]
+    assert sum(r.start == 0 for r in placed) == len(rows)
+    assert {r.sequence_id for r in placed} == set(range(1 + max(r.sequence_id for r in placed)))
+    ends = collections.Counter()
+    for r in sorted(placed, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends[r.sequence_id] == r.offset
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 1024
+    for part in (0.1, 0.3, 0.5, 0.9):
+        early = collections.Counter()
+        for r in placed:
+            if r.doc_id is not None and r.sequence_id < part * len(ends):
+                early[names[r.doc_id]] += r.length
+        for s, n in shares.items():
+            assert abs(early[s] / sum(early.values()) - n / 30) < 0.05

@@ -180,6 +180,25 @@ def test_no_vectors(spark, points):
     assert vectors.near_duplicates(points[1].where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["common mean", "topic"])
+def test_crowded_vectors(spark, kind):
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    v, middle = unit(rng.standard_normal((6000, 48))), unit(rng.standard_normal((1, 48)))
+    crowd = slice(None) if kind == "common mean" else slice(0, 3000)
+    v[crowd] = unit(0.85 * middle + (1 - 0.85**2) ** 0.5 * v[crowd])
+    other = unit(rng.standard_normal((300, 48)))
+    other = unit(other - (other * v[:300]).sum(1, keepdims=True) * v[:300])
+    v = np.r_[v, 0.905 * v[:300] + (1 - 0.905**2) ** 0.5 * other, v[:1].repeat(700, 0)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, window=8).collect()}
+    near = v @ v.T >= 0.9
+    a, b = np.nonzero(np.triu(near, 1))
+    root = roots(range(len(v)), zip(a.tolist(), b.tolist()))
+    wrong = [i for i in range(len(v)) if got[i] != (near[i].sum() - 1, root[i])]
+    assert len(b) > 300 and len(wrong) <= 4
+
+
 # --- pipeline ---------------------------------------------------------------------------
 
 def test_pipeline(spark, sf_dir, tmp_path):

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailsieve.functions.shared import ship
+from mailsieve.functions.shared import cut, ship
 from mailsieve.llm.tokens import column
 
 GRAMS = (5, 8)
@@ -24,10 +24,10 @@ BITS = 24
 TWICE = 1 << BITS  # added to a bucket found twice or more
 COARSE = 6  # bits left out of a bucket in the first look at whether the model knows it
 SLICE_BYTES = 1 << 20
-POSITIVES, UNLABELLED = 1_200, 2_800
-# features in the model: in so many toxic texts and so large a part of them, by so large a log-likelihood ratio (Poisson) more
+POSITIVES, UNLABELLED = 2_500, 7_500
+# features in the model: in so many toxic texts, by so large a log-likelihood ratio (Poisson) more
 # than unlabelled text has, and with so large a toxic share among their texts, by Bayes' rule
-LEAST_DOCS, LEAST_PART, LEAST_LEAN, LEAST_SHARE = 5, 0.02, 12.0, 0.5
+LEAST_DOCS, LEAST_LEAN, LEAST_SHARE = 5, 12.0, 0.5
 STEPS, RATE, DECAY, ASCENT = 400, 0.05, 1e-4, 1.0
 THRESHOLD = 0.7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -105,15 +105,19 @@ class Model:
         return out
 
 
+def leaning(count: np.ndarray, seen: np.ndarray, positives: int, unlabelled: int, prior: float) -> np.ndarray:
+    """Which features the model takes, by the toxic and the unlabelled sample texts that have them."""
+    expected = (seen + 0.5) * positives / unlabelled
+    lean = (count > expected) & (count * np.log(np.maximum(count, 1) / expected) - count + expected >= LEAST_LEAN)
+    return (count >= LEAST_DOCS) & lean & (prior * count >= LEAST_SHARE * expected)
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """The non-negative risk estimator with logistic loss, by full-batch Adam steps."""
     none = np.zeros(0, np.int64)
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(none, none, None)
     keys, count = np.unique(np.concatenate(positive), return_counts=True)
-    often = count >= max(LEAST_DOCS, LEAST_PART * len(positive))
-    keys, count = keys[often], count[often]
-
     def places(doc: np.ndarray) -> np.ndarray:
         if not len(keys):
             return none
@@ -123,10 +127,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     seen = np.zeros(len(keys))
     for doc in unlabelled:
         seen[places(doc)] += 1
-    expected = (seen + 0.5) * len(positive) / len(unlabelled)
-    lean = (count > expected) & (count * np.log(count / expected) - count + expected >= LEAST_LEAN)
-    chosen = lean & (prior * count >= LEAST_SHARE * expected)
-    keys = keys[chosen]
+    keys = keys[leaning(count, seen, len(positive), len(unlabelled), prior)]
 
     def matrix(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
         kept = [places(d) for d in docs]
@@ -158,8 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
         prior: float | None = None) -> Model:
     """Learns from ``labels(doc_id, toxic)`` and texts of the folds 0 and 2.
 
-    At most ``positives`` toxic and ``unlabelled`` other texts, those whose ids hash lowest,
-    come to the driver as sets of buckets.  ``prior`` is the toxic share of all texts; by
+    The sample is at most ``positives`` toxic and ``unlabelled`` other texts, those whose ids
+    hash lowest.  Features are counted and chosen on Spark, and only each text's chosen ones
+    come to the driver.  ``prior`` is the toxic share of all texts; by
     default that of the labelled ones of these folds.  A document with a toxic label and
     another counts as toxic; null ids, null labels and labels without a document do not count.
     """
@@ -172,17 +174,43 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
     chosen = lowest(marked.where("toxic = 1"), positives).withColumn("positive", F.lit(1)).unionByName(
         lowest(docs.where(fold(F.col("doc_id")) != 1), unlabelled).withColumn("positive", F.lit(0)))
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = column(batch, "positive").to_numpy()
+            for begin, _, row, bucket in grams(column(batch, "text")):
+                at, feature = features(row, bucket)
+                found, place = np.unique(feature, return_inverse=True)
+                toxic = np.bincount(place, kinds[begin + at], minlength=len(found)).astype(np.int64)
+                every = np.bincount(place, minlength=len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(toxic), pa.array(every - toxic)], ["feature", "n_toxic", "n_other"])
+
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled rows
+    some = cut(some.dropDuplicates(["doc_id", "positive"]).select("positive", "text"), "sample")
+    sizes = {r["positive"]: r["n"] for r in some.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2 or not 0 < prior < 1:
+        return train([], [], float(prior))
+
+    def leans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, other = (column(batch, c).to_numpy() for c in ("n_toxic", "n_other"))
+            yield batch.select(["feature"]).filter(pa.array(leaning(toxic, other, sizes[1], sizes[0], float(prior))))
+
+    counts = some.mapInArrow(counted, "feature bigint, n_toxic bigint, n_other bigint").groupBy("feature").agg(
+        F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
+    often = counts.where(F.col("n_toxic") >= LEAST_DOCS).mapInArrow(leans, "feature bigint")
+    keys = docs.sparkSession.sparkContext.broadcast(np.sort(often.toArrow()["feature"].to_numpy()))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = column(batch, "positive")
             for begin, n, row, bucket in grams(column(batch, "text")):
                 at, feature = features(row, bucket)
+                known = np.isin(feature, keys.value)
+                at, feature = at[known], feature[known]
                 ends = np.searchsorted(at, np.arange(n + 1)).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([kinds.slice(begin, n), found], ["positive", "grams"])
 
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled rows
-    some = some.dropDuplicates(["doc_id", "positive"]).select("positive", "text")
     got = some.mapInArrow(sets, "positive int, grams array<int>").toArrow()
     kinds = got["positive"].to_numpy()
     rows = [a for chunk in got["grams"].chunks for a in np.split(chunk.flatten().to_numpy(), chunk.offsets.to_numpy()[1:-1] - chunk.offsets[0].as_py())] if len(got) else []

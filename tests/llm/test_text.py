@@ -232,6 +232,24 @@ def test_without_positives(toxic):
     assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), labels)).count() == 0
 
 
+def test_rare_kinds_of_toxic_text(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["ba", "ke", "lo", "mi", "nu"]) for _ in range(3))
+    rows, labels = [], []
+    for i in range(12_000):
+        kind = "pondscum" if i % 720 == 0 else "moronic" if i % 12 == 0 else None  # one in 60 toxic texts is of the rare kind
+        text = [word() for _ in range(30)]
+        for _ in range(3 if kind else 0):
+            text.insert(rng.randrange(len(text)), kind)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(kind is not None)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = toxicity.score(df, toxicity.fit(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"))).collect()
+    rare = [r.score for r in got if r.doc_id % 720 == 0]
+    assert len(rare) == 17 and min(rare) >= toxicity.THRESHOLD
+    assert max(r.score for r in got if r.doc_id % 12) < toxicity.THRESHOLD
+
+
 def test_risk_does_not_go_below_zero():
     rng = np.random.default_rng(0)
     positive = [np.unique(rng.choice(50, 5)) for _ in range(200)]

@@ -1,8 +1,8 @@
 """Secret scans: known shapes, and random strings that a vocabulary cannot shorten.
 
 A tokeniser's vocabulary holds what people write, so prose and identifiers take few tokens and
-random strings many.  A run of key characters with letters and digits counts as random where
-it has few characters per token.  Digests of the usual lengths, UUIDs and other known
+random strings many.  A run of key characters, or what base patterns leave of it, counts as random
+where it has few characters per token.  Digests of the usual lengths, UUIDs and other known
 identifiers are left out: they look random and are no secrets.
 """
 
@@ -35,7 +35,6 @@ _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}")
 _HEX = re.compile(f"[0-9a-f]{{{HEX_LEAST},}}")
 _RUN = re.compile(f"[A-Za-z0-9+/_=-]{{{RANDOM_LEAST},}}")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"(?:sha\d+-|md5-)?([0-9A-Fa-f]+|[0-9A-F]+)")
 
@@ -66,6 +65,16 @@ def base_spans(text: str, kinds: list[str]) -> list[tuple[int, int, int]]:
     return found
 
 
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that none of the spans ``taken``, in order, covers."""
+    parts = []
+    for a, b in taken:
+        if a < end and start < b:
+            parts.append((start, a))
+            start = b
+    return [(a, b) for a, b in [*parts, (start, end)] if a < b]
+
+
 def vocabulary(ranks: str, pattern: str):
     import tiktoken
 
@@ -103,11 +112,11 @@ def scan(docs: DataFrame, ranks: str, pattern: str, *, most_chars_per_token: flo
                 if may[RANDOM][i]:
                     taken = sorted((a, b) for a, _, b in got)
                     for run in _RUN.finditer(text):
-                        a, b = run.span()
-                        if not _MIXED.match(run[0]) or known(run[0]) or any(x < b and a < y for x, y in taken):
+                        if known(run[0]):
                             continue
-                        if b - a < most_chars_per_token * len(tokens(run[0])):
-                            got.append((a, 3, b))
+                        for a, b in outside(*run.span(), taken):
+                            if b - a >= RANDOM_LEAST and not known(text[a:b]) and b - a < most_chars_per_token * len(tokens(text[a:b])):
+                                got.append((a, 3, b))
                 found[i] = [{"kind": order[k], "start": a, "end": b} for a, k, b in sorted(got)]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in keep], pa.array(found, kind)], [*keep, "spans"])

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.functions.shared import new_path
-from mailsieve.llm import boundaries, mixing, neardup, packing, quality, secrets, toxicity, urls, vectors, warc
+from mailsieve.functions.shared import cut, new_path
+from mailsieve.llm import boundaries, merkle, mixing, neardup, packing, quality, secrets, toxicity, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,24 @@ def op10_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document; every seventh by the checksum of its id is tampered with before it is folded."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    changed = merkle.digest_of(*[more if f == "n_chars" else F.col(f) for f in fields])
+    leaves = cut(_table(spark, sf_dir, "documents").select(
+        merkle.group_key(F.col("lang")).alias("tree"), "doc_id", merkle.digest_of(*map(F.col, fields)).alias("digest"),
+        F.when(chosen & F.col("n_chars").isNotNull(), changed).alias("changed"),
+    ), "digests")
+    made = merkle.manifest(leaves, ["doc_id", "digest"])
+    rows = merkle.prove(made).select(
+        "doc_id", F.col("found").alias("leaf"), F.col("top").alias("subroot"), F.lit(made.root).alias("root"),
+        merkle.siblings(F.col("proof")).alias("proof_sha256"), merkle.fold(F.coalesce("changed", "digest"), F.col("proof")).alias("folded_root"),
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_content_addressed_warc": op2_content_addressed_warc,
@@ -110,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weighted_minhash": op8_weighted_minhash,
     "op9_secret_scans": op9_secret_scans,
     "op10_url_sweep": op10_url_sweep,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 # page_id order decides which of equal pages is stored; base32 from forty-bit groups of the digest
@@ -138,4 +157,49 @@ FROM c LEFT JOIN LATERAL (
   ORDER BY length(rule) DESC, length(h) DESC, action DESC LIMIT 1) best ON true
 """
 
-ORACLE: dict[str, str] = {"op2_content_addressed_warc": _WARC_SQL, "op10_url_sweep": _URL_SQL}
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    byte = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)"
+    step = "list_reduce(range(8), lambda x, k: (CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)::BIGINT, xor(c, b)::BIGINT)"
+    return f"xor(list_reduce({byte}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in fields]
+    return "sha256(" + " || ".join(parts) + ")"
+
+
+def _nodes_sql(name: str, leaves: str) -> str:
+    return f"""{name}(l, tree, r, d, n) AS (
+  SELECT 0, tree, r, d, n FROM {leaves} UNION ALL
+  SELECT l + 1, tree, r // 2, sha256(string_agg(d, '' ORDER BY r)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY l, tree, r // 2, n)"""
+
+
+def _way_sql(name: str, nodes: str, start: str) -> str:
+    """Up a tree: the digest of the way so far and the siblings met."""
+    return f"""{name}(id, tree, l, r, n, acc, proof) AS (
+  SELECT * FROM ({start}) UNION ALL
+  SELECT w.id, w.tree, w.l + 1, w.r // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.r % 2 = 1 THEN s.d || w.acc ELSE w.acc || coalesce(s.d, '') END), w.proof || coalesce(s.d, '')
+  FROM {name} w LEFT JOIN {nodes} s ON s.tree = w.tree AND s.l = w.l AND s.r = xor(w.r, 1) WHERE w.n > 1)"""
+
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("n_chars")} AS d,
+    CASE WHEN n_chars IS NOT NULL AND {_crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql("(n_chars::HUGEINT + 1)")} END AS changed
+  FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS r, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{_nodes_sql("nodes", "ranked")},
+subroots AS (SELECT tree AS key, '' AS tree, d, row_number() OVER (ORDER BY tree) - 1 AS r, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_nodes_sql("tops", "subroots")},
+{_way_sql("up", "nodes", "SELECT id, tree, 0, r, n, coalesce(changed, d), '' FROM ranked")},
+{_way_sql("over", "tops", "SELECT u.id, s.tree, 0, s.r, s.n, u.acc, u.proof FROM up u JOIN subroots s ON s.key = u.tree WHERE u.n = 1")}
+SELECT k.doc_id, k.d AS leaf, s.d AS subroot, root.d AS root, sha256(o.proof) AS proof_sha256, o.acc AS folded_root, o.acc = root.d AS verified
+FROM over o JOIN ranked k ON k.id = o.id JOIN subroots s ON s.key = k.tree JOIN tops root ON root.n = 1 WHERE o.n = 1
+"""
+
+ORACLE: dict[str, str] = {"op2_content_addressed_warc": _WARC_SQL, "op10_url_sweep": _URL_SQL, "op11_merkle_manifest": _MERKLE_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsieve.functions.shared import cut, new_path
-from mailsieve.llm import boundaries, merkle, mixing, neardup, packing, quality, secrets, toxicity, urls, vectors, warc
+from mailsieve.llm import alignment, boundaries, chat, merkle, mixing, neardup, packing, quality, secrets, toxicity, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,24 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the conversations read back from the formatted text and its loss mask."""
+    own = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(["user", "assistant"])]
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    path = new_path(spark, "chat")
+    chat.write(rows.unionByName(spark.createDataFrame(own, "conv_id bigint, turn bigint, role string, text string")), path)
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chat.read(spark, path).select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("trained").cast("bigint").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "refused", "first_refused",
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measure(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_content_addressed_warc": op2_content_addressed_warc,
@@ -129,6 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scans": op9_secret_scans,
     "op10_url_sweep": op10_url_sweep,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_chat_template": op12_chat_template,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 # page_id order decides which of equal pages is stored; base32 from forty-bit groups of the digest
@@ -202,4 +222,43 @@ SELECT k.doc_id, k.d AS leaf, s.d AS subroot, root.d AS root, sha256(o.proof) AS
 FROM over o JOIN ranked k ON k.id = o.id JOIN subroots s ON s.key = k.tree JOIN tops root ON root.n = 1 WHERE o.n = 1
 """
 
-ORACLE: dict[str, str] = {"op2_content_addressed_warc": _WARC_SQL, "op10_url_sweep": _URL_SQL, "op11_merkle_manifest": _MERKLE_SQL}
+
+
+def _chat_sql(template: chat.Template) -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def extra(column: str) -> str:
+        """Characters that the escape adds."""
+        return " + ".join(f"(length({column}) - length(replace({column}, {quoted(c)}, ''))) // {len(c)}" for c in [*template.controls(), "\\"])
+
+    marks = " ".join(f"WHEN {quoted(role)} THEN {len(t.begin + t.end)}" for role, t in template.turns.items())
+    other = f"{len(template.other.begin + template.named + template.other.end)} + length(role) + {extra('role')}"
+    trained = ", ".join(quoted(role) for role, t in template.turns.items() if t.loss)
+    moves = ", ".join(f"({quoted(s)}, {quoted(r)}, {quoted(a)})" for s, to in template.moves.items() for r, a in to.items())
+    final = ", ".join(map(quoted, template.final))
+    return f"""
+WITH RECURSIVE rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM rows),
+moves(state, role, after) AS (VALUES {moves}),
+ran(conv_id, i, state, refused, first_refused) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {quoted(template.start)}, 0, NULL::INT FROM t
+  UNION ALL
+  SELECT r.conv_id, r.i + 1, coalesce(m.after, r.state), r.refused + (m.after IS NULL)::INT,
+    coalesce(r.first_refused, CASE WHEN m.after IS NULL THEN r.i::INT END)
+  FROM ran r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.i = r.i LEFT JOIN moves m ON m.state = r.state AND m.role = t.role),
+told AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY i) FILTER (role IN ({trained})), '') AS trained,
+  sum(CASE role {marks} ELSE {other} END + length(text) + {extra('text')})::BIGINT AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT k.conv_id, n_turns, turns_sha256, length(trained) AS loss_chars, sha256(trained) AS loss_sha256, formatted_chars,
+  refused = 0 AND state IN ({final}) AS valid, refused, first_refused
+FROM told k JOIN ran r ON r.conv_id IS NOT DISTINCT FROM k.conv_id AND r.i = k.n_turns
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op2_content_addressed_warc": _WARC_SQL, "op10_url_sweep": _URL_SQL, "op11_merkle_manifest": _MERKLE_SQL, "op12_chat_template": _chat_sql(chat.CHAT),
+}

@@ -5,10 +5,9 @@ once; its pair counts are weighted by how many documents hold it, and its measur
 back to the documents by a digest.  ``A`` is a byte-level vocabulary, ``B`` a sentencepiece one
 that puts a space before a text; both see the space and the text.
 
-A text is cut before each space that follows something else than white space.  No token of
-either vocabulary reaches over such a cut (checked when the vocabularies are opened), so both
-have a token end there, and the pieces between can be tokenised and aligned one by one, each
-distinct piece of a slice once.
+Tokenising cuts texts at places that no token of either vocabulary reaches over (checked when
+they are opened) and encodes each distinct piece of a slice once.  Aligning is array work over a
+slice of texts: the running sums of both sides' token lengths, and where they meet.
 """
 
 from __future__ import annotations
@@ -16,32 +15,52 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from mailsieve.functions.shared import cut, ship
-from mailsieve.llm.tokens import column
+from mailsieve.llm.tokens import Encoder, column, gather
 from mailsieve.operators.lookup import BROADCAST_BYTES, bounded, lookup
 
 PAIR = 1 << 15  # a pair of ids is A * PAIR + B
-MEMO_PIECES, MEMO_CHARS = 100_000, 40  # pieces kept by a task, twice over at most, and their longest length
-PART_CHARS = 1 << 20
+SLICE_BYTES = 2 << 20  # of text, or one text that is longer
+MEMO_PIECES, MEMO_CHARS = 100_000, 40  # pieces of B kept by a task, twice over at most, and their longest length
 FREQUENT = 1_000
-COUNTED = 500_000  # distinct pairs counted in a task before they are handed on
-_CUT = re.compile(r"(?<=\S)(?= )")
+COUNTED = 1_000_000  # distinct pairs counted in a task before they are handed on
+DIGITS = 6  # of a token in the written groups: five of the id and a separator
 
 FOUND = (
     "text_key binary, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<int>, times array<int>, "
     "pair int, count bigint"
 )
+_SCHEMA = pa.schema([
+    ("text_key", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
+    ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("pair", pa.int32()), ("count", pa.int64()),
+])
+
+
+class TokenBytes:
+    """The bytes of every token of a vocabulary, one after the other."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begins[ids] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.data[at]
 
 
 class Tokenizers:
-    """Both vocabularies with the bytes of every token.  Their size does not depend on the texts."""
+    """Both vocabularies.  Their size does not depend on the texts."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,43 +69,28 @@ class Tokenizers:
 
         from mailsieve.llm.tokens import _byte_letters
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a_path = a_path
         byte_of = {letter: byte for byte, letter in _byte_letters().items()}
-        self.a_bytes: dict[int, bytes] = {
-            i: bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode() for token, i in self.a.get_vocab().items()
-        }
+        vocabulary = Tokenizer.from_file(a_path).get_vocab()
+        tokens = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.b_space = self.b.piece_to_id("▁")
-        # what the cut and the packing of pairs rest on
-        if any(re.search("[^▁]▁", p) for p in pieces) or len(pieces) > PAIR or max(self.a_bytes) * PAIR >= 1 << 31:
+        # what the cuts and the packing of pairs rest on
+        if any(re.search("[^▁]▁|.\n|\n.", p) for p in pieces) or len(pieces) > PAIR or len(tokens) * PAIR > 1 << 31:
             raise ValueError("these vocabularies cannot be aligned piece by piece")
+        self.a_bytes = TokenBytes(tokens)
+        self.b_bytes = TokenBytes([bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.b_space = self.b.piece_to_id("▁")
+        self.written = _written(len(tokens), len(pieces))
+
 
-    def align(self, pieces: list[str]) -> list[tuple[bytes, list[int], int, int] | None]:
-        """Of pieces that begin with a space: groups as text, linked pairs, tokens of A and of B;
-        None where the tokens' bytes are not the piece's."""
-        a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return [self._align(p.encode(), x.ids, y or [self.b_space]) for p, x, y in zip(pieces, a, b)]
-
-    def _align(self, data: bytes, a: list[int], b: list[int]) -> tuple[bytes, list[int], int, int] | None:
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
-            return None
-        groups, pairs, i, j, begin_i, begin_j, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            # the side that is behind takes its next token
-            if end_a <= end_b and i < len(a):
-                end_a, i = end_a + len(a_parts[i]), i + 1
-            else:
-                end_b, j = end_b + len(b_parts[j]), j + 1
-            if end_a == end_b:
-                groups.append("%s|%s" % (",".join(map(str, a[begin_i:i])), ",".join(map(str, b[begin_j:j]))))
-                pairs.append(a[i - 1] * PAIR + b[j - 1])
-                begin_i, begin_j = i, j
-        return ";".join(groups).encode(), pairs, len(a), len(b)
+def _written(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every id as it is written, and how long that is: ids of A before a comma, before a bar, ids of
+    B before a comma, before a semicolon."""
+    texts = [f"{i}{end}" for n, ends in ((a, ",|"), (b, ",;")) for end in ends for i in range(n)]
+    return np.array([list(t.ljust(DIGITS).encode()) for t in texts], np.uint8), np.array([len(t) for t in texts], np.int64)
 
 
 _OPEN: dict[tuple[str, str], Tokenizers] = {}
@@ -99,111 +103,144 @@ def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return _OPEN[a_path, b_path]
 
 
-def _parts(text: str) -> Iterator[str]:
-    """A text in parts of bounded length, each ending at a cut; a longer stretch without a cut is one part."""
-    begin = 0
-    while len(text) - begin > PART_CHARS:
-        found = _CUT.search(text, begin + PART_CHARS)
-        if found is None:
-            break
-        yield text[begin:found.start()]
-        begin = found.start()
-    yield text[begin:]
-
-
-class _Aligner:
-    """A task's memo of pieces; it goes when the task ends."""
+class Aligner:
+    """A task's memos of pieces; they go when the task ends."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.memo: dict[str, tuple | None] = {}
-        self.older: dict[str, tuple | None] = {}
-
-    def pieces(self, pieces: list[str]) -> list[tuple | None]:
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            self.older, self.memo = memo, {}
-            memo = self.memo
-        fresh = {p: None for p in pieces if p not in memo}
-        if not fresh:
-            return [memo[p] for p in pieces]
-        missing = [p for p in fresh if p not in self.older]
-        fresh.update((p, self.older[p]) for p in fresh if p in self.older)
-        fresh.update(zip(missing, self.tokenizers.align(missing)))
-        out = [fresh[p] if p in fresh else memo[p] for p in pieces]
-        memo.update((p, got) for p, got in fresh.items() if len(p) <= MEMO_CHARS)
+        self.a = Encoder(tokenizers.a_path, True, MEMO_PIECES)
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _b_ids(self, pieces: list[str]) -> list[bytes]:
+        """B's ids of distinct pieces.  The library puts a space before what it is given: it takes the
+        place of a piece's own, and else comes off again, apart behind a line break."""
+        if len(self.memo) > MEMO_PIECES:
+            self.older, self.memo = self.memo, {}
+        known = [self.memo.get(p) or self.older.get(p) for p in pieces]
+        missing = [p for p, k in zip(pieces, known) if k is None and p]
+        given = [p[1:] if p[0] == " " else "\n" + p for p in missing]
+        fresh = {}
+        for piece, ids in zip(missing, self.tokenizers.b.encode(given, num_threads=1)):
+            if piece[0] != " ":
+                ids = ids[2:]
+            fresh[piece] = np.array(ids or [self.tokenizers.b_space], np.uint32).tobytes()
+        out = [fresh.get(p, b"") if k is None else k for p, k in zip(pieces, known)]
+        self.memo.update((p, ids) for p, ids in zip(pieces, out) if ids and len(p) <= MEMO_CHARS)
         return out
 
-    def text(self, text: str) -> tuple[int, int, str, np.ndarray] | None:
-        """Tokens of A and of B, digest of the groups, linked pairs; None where bytes differ."""
-        digest, n_a, n_b, pairs, between = hashlib.sha256(), 0, 0, [], b""
-        for part in _parts(" " + text):
-            got = self.pieces(_CUT.split(part))
-            if None in got:
-                return None
-            digest.update(between + b";".join([g[0] for g in got]))
-            between = b";"
-            n_a += sum([g[2] for g in got])
-            n_b += sum([g[3] for g in got])
-            pairs.append(np.array([pair for g in got for pair in g[1]], np.int32))
-        return n_a, n_b, digest.hexdigest(), np.concatenate(pairs)
+    def _encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both vocabularies, each with the places where the texts' ids begin."""
+        cuts = self.a._cut(texts)
+        coded = cuts.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return [gather(ids(pieces), cuts, coded) for ids in (self.a._ids, self._b_ids)]
+
+    def align(self, texts: pa.Array) -> dict[str, np.ndarray | list[str]]:
+        """Of texts with the space before them: numbers of tokens and groups, digest of the groups, and
+        the linked pairs with the number of their text.  A text whose bytes a side does not give has none."""
+        own = self.tokenizers
+        begins = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[begins[0]:begins[-1]]
+        begins = begins - begins[0]
+        sides = self._encode(texts)
+        sound = np.ones(len(texts), bool)
+        for (ids, at), table in zip(sides, (own.a_bytes, own.b_bytes)):
+            ends = np.r_[0, np.cumsum(table.sizes[ids])]
+            sound &= np.diff(ends[at]) == np.diff(begins)
+        sides = [_only(ids, at, sound) for ids, at in sides]
+        wanted = data[np.repeat(sound, np.diff(begins))]
+        same = np.ones(len(wanted), bool)
+        for (ids, _), table in zip(sides, (own.a_bytes, own.b_bytes)):
+            same &= table.joined(ids) == wanted
+        if not same.all():
+            ends = np.r_[0, np.cumsum(same)][np.r_[0, np.cumsum(np.where(sound, np.diff(begins), 0))]]
+            exact = sound & (np.diff(ends) == np.diff(begins))
+            sides = [_only(ids, at, exact) for ids, at in sides]
+        (a, a_at), (b, b_at) = sides
+        a_ends, b_ends = np.cumsum(own.a_bytes.sizes[a]), np.cumsum(own.b_bytes.sizes[b])
+        meet = np.searchsorted(b_ends, a_ends)
+        closes = b_ends[np.minimum(meet, len(b) - 1)] == a_ends if len(b) else np.zeros(0, bool)
+        a_last, b_last = np.flatnonzero(closes), meet[closes]
+        closed = np.r_[0, np.cumsum(closes)]
+        groups_at = closed[a_at]
+        return {
+            "n_a": np.diff(a_at), "n_b": np.diff(b_at), "n_groups": np.diff(groups_at),
+            "groups_sha256": self._digests(a, b, a_at, b_at, closes, b_last),
+            "pairs": (a[a_last].astype(np.int64) * PAIR + b[b_last]).astype(np.int32), "text": np.repeat(np.arange(len(texts)), np.diff(groups_at)),
+        }
 
+    def _digests(self, a, b, a_at, b_at, closes, b_last) -> list[str]:
+        """Each text's groups, written: the tokens of A up to where the sides meet, then those of B."""
+        letters, sizes = self.tokenizers.written
+        n_a, n_b = len(self.tokenizers.a_bytes.sizes), len(self.tokenizers.b_bytes.sizes)
+        b_closes = np.zeros(len(b), bool)
+        b_closes[b_last] = True
+        a_group, b_group = np.cumsum(closes) - closes, np.cumsum(b_closes) - b_closes
+        codes = np.zeros(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.r_[0, b_last + 1][a_group]] = a + n_a * closes.astype(np.int64)
+        codes[np.arange(len(b)) + (np.flatnonzero(closes) + 1)[b_group]] = 2 * n_a + b + n_b * b_closes.astype(np.int64)
+        width = sizes[codes]
+        text = letters[codes][np.arange(DIGITS) < width[:, None]].tobytes()
+        ends = np.r_[0, np.cumsum(width)][a_at + b_at].tolist()
+        # without the separator behind the last group
+        return [hashlib.sha256(text[i:j - 1]).hexdigest() if j > i else "" for i, j in zip(ends[:-1], ends[1:])]
+
+
+def _only(ids: np.ndarray, at: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts that are kept; the others have none."""
+    sizes = np.diff(at)
+    return ids[np.repeat(kept, sizes)].astype(np.int64), np.r_[0, np.cumsum(np.where(kept, sizes, 0))]
 
-def _align(batches: Iterable[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and rows of pair counts weighted by the texts' documents."""
-    schema = pa.schema([
-        ("text_key", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
-        ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("pair", pa.int32()), ("count", pa.int64()),
-    ])
 
-    def batch(**given) -> pa.RecordBatch:
-        n = len(next(iter(given.values())))
-        return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, at = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(kinds), np.int64)
+    np.add.at(sums, at, values)
+    return kinds, sums
 
-    aligner, counts = _Aligner(_tokenizers(a_path, b_path)), Counter()
 
-    def counted() -> Iterator[pa.RecordBatch]:
-        pairs = np.fromiter(counts.keys(), np.int32, len(counts))
-        yield batch(pair=pa.array(pairs), count=pa.array(np.fromiter(counts.values(), np.int64, len(counts))))
-        counts.clear()
+def _batch(**given) -> pa.RecordBatch:
+    n = len(next(iter(given.values())))
+    return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+def _align(batches: Iterable[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
+    """A row for each text, and rows of pair counts weighted by the texts' documents."""
+    aligner, parts = Aligner(_tokenizers(a_path, b_path)), []
     for rows in batches:
-        keys, texts, documents = (column(rows, n) for n in ("text_key", "text", "documents"))
-        measures, lists, times, sizes = [], [], [], [0]
-        pending, weights = [], []
-        for text, many in zip(texts, documents.to_pylist()):
-            got = aligner.text(text.as_py())
-            if got is None:
-                measures.append((0, 0, 0, ""))
-                sizes.append(sizes[-1])
-                continue
-            n_a, n_b, digest, links = got
-            measures.append((n_a, n_b, len(links), digest))
-            kinds, often = np.unique(links, return_counts=True)
-            lists.append(kinds)
-            times.append(often.astype(np.int32))
-            sizes.append(sizes[-1] + len(kinds))
-            pending.append(kinds)
-            weights.append(often * many)
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        often = np.concatenate(times) if times else np.zeros(0, np.int32)
-        offsets = pa.array(sizes, pa.int32())
-        yield batch(
-            text_key=keys, n_a=pa.array([m[0] for m in measures], pa.int64()), n_b=pa.array([m[1] for m in measures], pa.int64()),
-            n_groups=pa.array([m[2] for m in measures], pa.int64()), n_links=pa.array([m[2] for m in measures], pa.int64()),
-            groups_sha256=pa.array([m[3] for m in measures], pa.string()),
-            pairs=pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), times=pa.ListArray.from_arrays(offsets, pa.array(often, pa.int32())),
-        )
-        if pending:
-            kinds, at = np.unique(np.concatenate(pending), return_inverse=True)
-            sums = np.zeros(len(kinds), np.int64)
-            np.add.at(sums, at, np.concatenate(weights))
-            for pair, n in zip(kinds.tolist(), sums.tolist()):
-                counts[pair] += n
-        if len(counts) > COUNTED:
-            yield from counted()
-    if counts:
-        yield from counted()
+        keys, documents = column(rows, "text_key"), column(rows, "documents").to_numpy()
+        texts = column(rows, "text")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            before = size[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right")))
+            some = texts.slice(begin, end - begin)
+            got = aligner.align(pc.binary_join_element_wise(" ", some, ""))
+            # one row a text and distinct pair: the text above the pair's 31 bits
+            kinds, often = np.unique(got["text"] << 31 | got["pairs"], return_counts=True)
+            pairs, text = (kinds & ((1 << 31) - 1)).astype(np.int32), kinds >> 31
+            offsets = pa.array(np.searchsorted(text, np.arange(len(some) + 1)), pa.int32())
+            number = {name: pa.array(got[name], pa.int64()) for name in ("n_a", "n_b", "n_groups")}
+            yield _batch(
+                text_key=keys.slice(begin, end - begin), **number, n_links=number["n_groups"], groups_sha256=pa.array(got["groups_sha256"], pa.string()),
+                pairs=pa.ListArray.from_arrays(offsets, pa.array(pairs)), times=pa.ListArray.from_arrays(offsets, pa.array(often.astype(np.int32))),
+            )
+            parts.append(_summed(pairs, often * documents[begin:end][text]))
+            begin = end
+        if sum(len(p[0]) for p in parts) > COUNTED:
+            parts = [_counted(parts)]
+            if len(parts[0][0]) > COUNTED // 2:
+                yield _batch(pair=pa.array(parts[0][0], pa.int32()), count=pa.array(parts[0][1]))
+                parts = []
+    if parts:
+        pairs, counts = _counted(parts)
+        yield _batch(pair=pa.array(pairs, pa.int32()), count=pa.array(counts))
 
 
 def align_texts(docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame]:

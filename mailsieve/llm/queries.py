@@ -119,10 +119,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the conversations read back from the formatted text and its loss mask."""
-    own = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(["user", "assistant"])]
+    own = spark.range(2).selectExpr(
+        "CAST(-1 AS BIGINT) AS conv_id", "id AS turn", "CASE id WHEN 0 THEN 'user' ELSE 'assistant' END AS role", "'</s>[INST] ok [/INST]' AS text"
+    )
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     path = new_path(spark, "chat")
-    chat.write(rows.unionByName(spark.createDataFrame(own, "conv_id bigint, turn bigint, role string, text string")), path)
+    chat.write(rows.unionByName(own), path)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chat.read(spark, path).select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),

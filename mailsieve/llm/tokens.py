@@ -99,18 +99,7 @@ class Encoder:
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cuts = self._cut(texts)
         coded = cuts.flatten().dictionary_encode()
-        known = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, known), np.int32, len(known)) >> 2
-        begins = np.cumsum(sizes, dtype=np.int32) - sizes
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[at]
-        ends = np.zeros(len(at) + 1, np.int32)
-        np.cumsum(each, out=ends[1:])
-        shift = np.repeat(begins[at] - ends[:-1], each)
-        shift += np.arange(len(shift), dtype=np.int32)
-        offsets = cuts.offsets.to_numpy()
-        return flat[shift], ends[offsets - offsets[0]]
+        return gather(self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), cuts, coded)
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of a text column: row of the first text, all ids, where each text's ids begin
@@ -125,6 +114,21 @@ class Encoder:
             begin = end
 
 
+def gather(known: list[bytes], cuts: pa.ListArray, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts from those of their distinct pieces: all ids, and where each text's begin."""
+    sizes = np.fromiter(map(len, known), np.int32, len(known)) >> 2
+    begins = np.cumsum(sizes, dtype=np.int32) - sizes
+    flat = np.frombuffer(b"".join(known), np.uint32)
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    each = sizes[at]
+    ends = np.zeros(len(at) + 1, np.int32)
+    np.cumsum(each, out=ends[1:])
+    shift = np.repeat(begins[at] - ends[:-1], each)
+    shift += np.arange(len(shift), dtype=np.int32)
+    offsets = cuts.offsets.to_numpy()
+    return flat[shift], ends[offsets - offsets[0]]
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 

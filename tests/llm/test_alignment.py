@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -113,22 +114,24 @@ def test_pair_table(spark, plain):
     assert pairs.where(F.col("best")).select("b_id").distinct().count() == len({b for _, b in counts})
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="aBcé ▁.,'!\n\t ́ſK12<|>s/　漢", max_size=40))
-def test_any_text(plain, text):
-    got = alignment._Aligner(alignment._tokenizers(A, B)).text(text) if text else None
-    want = plain(text)
-    assert (got is None) == (want is None)
-    if got:
-        groups = groups_of(want)
+def aligned(plain, texts):
+    got = alignment.Aligner(alignment._tokenizers(A, B)).align(pa.array([" " + t for t in texts], pa.string()))
+    for i, text in enumerate(texts):
+        want = plain(text)
+        groups = groups_of(want) if want else []
         written = ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in groups)
-        assert got[:3] == (len(want[0][0]), len(want[1][0]), hashlib.sha256(written.encode()).hexdigest())
-        assert got[3].tolist() == [g[0][-1] * alignment.PAIR + g[1][-1] for g in groups]
+        assert (got["n_a"][i], got["n_b"][i], got["n_groups"][i]) == ((len(want[0][0]), len(want[1][0]), len(groups)) if want else (0, 0, 0)), text
+        assert got["groups_sha256"][i] == (hashlib.sha256(written.encode()).hexdigest() if want else "")
+        assert got["pairs"][got["text"] == i].tolist() == [g[0][-1] * alignment.PAIR + g[1][-1] for g in groups]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aBcé ▁.,'!\n\t\u00a0\u0301ſK12<|>s/\u3000漢\0", min_size=1, max_size=40), min_size=1, max_size=6))
+def test_any_text(plain, texts):
+    aligned(plain, texts)
 
 
-def test_long_text_in_parts(plain, monkeypatch):
-    monkeypatch.setattr(alignment, "PART_CHARS", 50)
-    text = "Some words, more words  and\n\n lines " * 40
-    want = plain(text)
-    got = alignment._Aligner(alignment._tokenizers(A, B)).text(text)
-    assert len(list(alignment._parts(text))) > 10 and got[:2] == (len(want[0][0]), len(want[1][0]))
+def test_slices_of_odd_texts(plain):
+    texts = [t for t in ODD if t]
+    aligned(plain, texts)
+    aligned(plain, texts[::-1] + texts)

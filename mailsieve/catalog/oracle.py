@@ -160,6 +160,7 @@ def _file_part(signal: str, kind: str, severity: str, template: str, where: str,
         "expected": "(SELECT expected[1] FROM exts x WHERE x.e = ext)",
         "megabytes": "printf('%.1f', size / 1048576.0)",
     }
+    evidence.setdefault("x_size_bytes", "CAST(size_bytes AS VARCHAR)")
     used = "".join(f", {v} AS {k}" for k, v in evidence.items())
     return (
         f"SELECT email_id, {q(signal)} AS signal, {q(kind)} AS type, {severity} AS severity, "
@@ -269,6 +270,7 @@ _DOMAINS = {
 _TIME = "SELECT email_id, {signal} AS signal, 'SUSPICIOUS_CONTENT' AS type, {severity} AS severity, {text} AS description{evidence} FROM sent WHERE {where}"
 _ISO = "strftime({x}, '%Y-%m-%dT%H:%M:%S')"
 _UTC = _ISO.format(x="utc") + " || '+00:00'"
+_NOW = q(f"{W.AS_OF:%Y-%m-%dT%H:%M:%S}+00:00")
 _LOCAL = "utc + to_minutes(off)"
 _TEMPORAL = {
     "tmp_missing": _TIME.format(signal="'missing_or_invalid_date_header'", severity="'LOW'",
@@ -277,29 +279,29 @@ _TEMPORAL = {
         signal="'off_hours_send'", severity="'MEDIUM'",
         text=say(V.TEXT_OFF_HOURS, utc="strftime(utc, '%H:%M')", local=f"strftime({_LOCAL}, '%H:%M')",
                  zone="CASE off WHEN 0 THEN 'UTC' ELSE 'UTC+02:00' END"),
-        evidence=f", {_UTC} AS send_time_utc, {_ISO.format(x=_LOCAL)} || CASE off WHEN 0 THEN '+00:00' ELSE '+02:00' END AS send_time_local, CAST(hour(utc) AS VARCHAR) AS hour_utc",
+        evidence=f", {_UTC} AS send_time_utc, {_ISO.format(x=_LOCAL)} || CASE off WHEN 0 THEN '+00:00' ELSE '+02:00' END AS send_time_local, CAST(hour(utc) AS VARCHAR) AS hour_utc, {q(V.OFF_HOURS_WINDOW)} AS x_off_hours_window",
         where="hour(utc) IN (2, 3, 4)"),
     "tmp_future": _TIME.format(
         signal="'future_dated_email'", severity="'HIGH'",
         text=say(V.TEXT_FUTURE, minutes="CAST(round_even(CAST(skew AS DOUBLE) / 60, 0) AS BIGINT)"),
-        evidence=f", {_UTC} AS send_time_utc, CAST(CAST(round(CAST(skew AS DECIMAL(18,4)) / 60, 1) AS DECIMAL(20,1)) AS VARCHAR) AS skew_minutes",
+        evidence=f", {_UTC} AS send_time_utc, CAST(CAST(round(CAST(skew AS DECIMAL(18,4)) / 60, 1) AS DECIMAL(20,1)) AS VARCHAR) AS skew_minutes, {_NOW} AS x_current_time_utc",
         where="skew > 900"),
     "tmp_stale": _TIME.format(
         signal="'stale_email'", severity="'MEDIUM'",
         text=say(V.TEXT_STALE, days="(-skew // 86400)", date="strftime(utc, '%Y-%m-%d')"),
-        evidence=f", {_UTC} AS send_time_utc, CAST(-skew // 86400 AS VARCHAR) AS age_days",
+        evidence=f", {_UTC} AS send_time_utc, CAST(-skew // 86400 AS VARCHAR) AS age_days, {_NOW} AS x_current_time_utc",
         where="skew < -2592000"),
 }
 
-_LISTED = "(SELECT url, coalesce(threat, 'malware_download') AS threat, coalesce(url_status, 'unknown') AS status FROM urlhaus WHERE query_status = 'is_listed')"
-_PHISH = "(SELECT url, coalesce(phish_id, 'unknown') AS phish_id FROM phishtank WHERE in_database AND valid)"
+_LISTED = "(SELECT url, coalesce(threat, 'malware_download') AS threat, coalesce(url_status, 'unknown') AS status, coalesce(tag_text, '') AS tags, id FROM urlhaus WHERE query_status = 'is_listed')"
+_PHISH = "(SELECT url, coalesce(phish_id, 'unknown') AS phish_id, phish_detail_page AS page, CASE WHEN verified THEN 'True' ELSE 'False' END AS verified FROM phishtank WHERE in_database AND valid)"
 _LINKS = {
     "rep_malware_feed": "SELECT email_id, position, 'urlhaus_listed' AS signal, 'MALWARE' AS type, 'CRITICAL' AS severity, "
     + say(V.TEXT_MALWARE_URL, url="url[1:200]", threat="threat", status="status")
-    + f" AS description, url[1:500] AS url FROM links JOIN {_LISTED} USING (url)",
+    + f" AS description, url[1:500] AS url, threat AS x_threat, status AS x_url_status, tags AS x_tags, id AS x_urlhaus_id FROM links JOIN {_LISTED} USING (url)",
     "rep_phish_feed": "SELECT email_id, position, 'phishtank_listed' AS signal, 'PHISHING' AS type, 'CRITICAL' AS severity, "
     + say(V.TEXT_PHISH_URL, url="url[1:200]", phish_id="phish_id")
-    + f" AS description, url[1:500] AS url FROM links JOIN {_PHISH} USING (url)",
+    + f" AS description, url[1:500] AS url, phish_id AS x_phish_id, page[1:300] AS x_phish_detail_url, verified AS x_verified FROM links JOIN {_PHISH} USING (url)",
 }
 
 # every finding with its place: analyzers in order, rules in order inside
@@ -336,6 +338,42 @@ CTES["findings"] = "\nUNION ALL ".join(
     f"{_rank(name, rank)} AS r1, {_place(name, key, rank)} AS r2, {rank} AS r3 FROM ({sql})"
     for name, key, rank, sql in _ORDER
 )
+#: the evidence of each rule's findings, in order; columns that the flat query does not show begin with ``x_``
+_EVIDENCE = {
+    "con_urgency": "label matched_text match_start", "con_pixel_img": "matched_tag match_start", "con_pixel_url": "matched_url match_start",
+    "con_hidden_zero_font": "matched_css match_start", "con_hidden_display": "matched_css match_start",
+    "con_hidden_color": "matched_css match_start", "con_hidden_comment": "snippet match_start",
+    "att_bad_mime": "filename mime_type size_bytes", "att_mime_mismatch": "filename extension declared_mime expected_mimes x_size_bytes",
+    "att_dangerous_ext": "filename extension mime_type x_size_bytes", "att_double_ext": "filename decoy_extension real_extension x_size_bytes",
+    "att_lure_name": "filename matched_keyword extension x_size_bytes", "att_zero_byte": "filename mime_type size_bytes",
+    "att_large": "filename mime_type size_bytes", "tmp_missing": "",
+    "tmp_off_hours": "send_time_utc send_time_local hour_utc x_off_hours_window",
+    "tmp_future": "send_time_utc x_current_time_utc skew_minutes", "tmp_stale": "send_time_utc x_current_time_utc age_days",
+    "rep_malware_feed": "url x_threat x_url_status x_tags x_urlhaus_id", "rep_phish_feed": "url x_phish_id x_phish_detail_url x_verified",
+    **{key: "result raw_header" for key in _HEADERS}, **{key: "domain matched_brand" for key in _DOMAINS},
+}
+
+
+def _pairs(key: str) -> list[tuple[str, str]]:
+    return [("signal", "signal"), *((c.removeprefix("x_"), c) for c in _EVIDENCE[key].split())]
+
+
+def _json_evidence(key: str) -> str:
+    parts = [f"{q(chr(10) + '    ' + chr(34) + k + chr(34) + ' : ')} || coalesce(to_json({c})::VARCHAR, 'null')" for k, c in _pairs(key)]
+    return " || ',' || ".join(parts)
+
+
+def _text_evidence(key: str) -> str:
+    return " || chr(3) || ".join(f"{q(k + '=')} || coalesce({c}, '')" for k, c in sorted(_pairs(key)))
+
+
+CTES["told"] = "\nUNION ALL ".join(
+    f"SELECT email_id, {_rank(name, rank)} AS r1, {_place(name, key, rank)} AS r2, {rank} AS r3, "
+    f"type || chr(2) || severity || chr(2) || description || chr(2) || {_text_evidence(key)} AS t, "
+    """'{\n  "type" : ' || to_json(type)::VARCHAR || ',\n  "severity" : ' || to_json(severity)::VARCHAR || ',\n  "description" : ' """
+    f"""|| to_json(description)::VARCHAR || ',\n  "evidence" : {{' || {_json_evidence(key)} || '\n  }}\n}}' AS js FROM ({sql})"""
+    for name, key, rank, sql in _ORDER
+)
 CTES["scores"] = (
     "SELECT e.email_id, CAST(least(coalesce(sum(f.weight), 0), 100) AS INTEGER) AS rule_score, "
     "CAST(count(f.email_id) AS INTEGER) AS finding_count "
@@ -448,6 +486,33 @@ CTES["fresh"] = (
 )
 
 
+# ---- asking the model -------------------------------------------------------
+
+CTES["gray"] = (
+    f"SELECT s.email_id, s.n_chars, {q(V.REUSE_PREFIX)} || sha256(safe || chr(1) || coalesce(texts, '') || chr(1) || {q(W.MODEL)}) AS key, "
+    "'<DETERMINISTIC_EVIDENCE>' || chr(10) || coalesce(shown, '[ ]') || chr(10) || '</DETERMINISTIC_EVIDENCE>' || chr(10) || chr(10) || '<EMAIL_METADATA>' "
+    f"|| chr(10) || {q(V.METADATA_NOTE)} || chr(10) || '</EMAIL_METADATA>' || chr(10) || chr(10) || '<UNTRUSTED_EMAIL>' || chr(10) || safe || chr(10) "
+    "|| '</UNTRUSTED_EMAIL>' AS prompt FROM sanitised s JOIN scores c ON c.email_id = s.email_id AND c.rule_score BETWEEN 10 AND 90 "
+    "LEFT JOIN (SELECT email_id, string_agg(t, chr(1) ORDER BY encode(t)) AS texts, '[ ' || string_agg(js, ', ' ORDER BY r1, r2, r3) || ' ]' AS shown "
+    "FROM told GROUP BY email_id) f ON f.email_id = s.email_id"
+)
+CTES["earlier"] = (
+    "SELECT key, arg_max(score, produced_at) AS semantic_score, max(produced_at) AS produced_at FROM ("
+    "SELECT key, CAST(email_id % 101 AS INTEGER) AS score, TIMESTAMP '2024-01-25 11:00:00' - to_hours(CAST(n_chars % 3 AS INTEGER) * 20) "
+    "- to_seconds(email_id) AS produced_at FROM gray WHERE email_id % 3 = 0) "
+    f"WHERE produced_at > {W.AS_OF_SQL} - INTERVAL '24' HOUR AND produced_at <= {W.AS_OF_SQL} GROUP BY key"
+)
+CTES["asks"] = (
+    "SELECT g.key, g.email_id, g.prompt, mails FROM gray g JOIN (SELECT key, min(email_id) AS email_id, count(*) AS mails FROM gray "
+    "WHERE key NOT IN (SELECT key FROM earlier) GROUP BY key) m ON m.email_id = g.email_id"
+)
+CTES["given"] = (
+    "SELECT a.key, 'earlier' AS origin, NULL AS email_id, semantic_score, NULL::VARCHAR AS rationale, NULL::INT AS attempt_used, produced_at FROM earlier a "
+    "UNION ALL SELECT a.key, 'now', a.email_id, p.semantic_score, p.rationale, p.attempt_used, r.produced_at FROM asks a JOIN picked p ON p.email_id = a.email_id "
+    "LEFT JOIN replies r ON r.email_id = p.email_id AND r.attempt = p.attempt_used"
+)
+
+
 # ---- assembling -------------------------------------------------------------
 
 
@@ -471,9 +536,14 @@ def put(name: str, sql: str) -> None:
     ORACLE[name] = f"WITH {ctes}\n{sql}" if ctes else sql
 
 
+def _shown(sql: str) -> str:
+    """Without the evidence that only the whole finding shows."""
+    return f"SELECT COLUMNS(c -> NOT starts_with(c, 'x_')) FROM ({sql})"
+
+
 def rule(name: str, sql: str) -> None:
     """A rule's findings without the columns the flat query does not show."""
-    put(name, f"SELECT * EXCLUDE (signal, type) FROM ({sql})")
+    put(name, _shown(f"SELECT * EXCLUDE (signal, type) FROM ({sql})"))
 
 
 _HTML = _content("html_mails")
@@ -485,8 +555,8 @@ for _group in (_ATTACHMENTS, _HEADERS, _DOMAINS, _TEMPORAL):
     for _key, _sql in _group.items():
         rule(_key, _sql)
 for _key, _sql in _LINKS.items():
-    put(_key, _sql)
-put("rep_both_feeds", " UNION ALL ".join(_LINKS.values()))
+    put(_key, _shown(_sql))
+put("rep_both_feeds", " UNION ALL ".join(map(_shown, _LINKS.values())))
 
 _SUBJECT = "CASE WHEN n_chars % 17 <> 14 THEN subject ELSE '' END"
 _HEADER_COUNT = (
@@ -538,6 +608,26 @@ put("hdr_detail", f"SELECT email_id, {_texts(V.SPF_TEXT, 'spf1')} AS spf_text, {
 put("dom_fold", "SELECT email_id, domain, folded, folded_reg AS folded_registrable FROM dom")
 put("dom_subdomain_prefix", f"SELECT email_id, domain, brand FROM {_PREFIX}")
 put("dom_subdomain_label", f"SELECT email_id, domain, brand FROM {_LABEL}")
+_LAST_TWO = "CASE WHEN position('.' IN rtrim(dom, '.')) > 0 THEN regexp_extract(rtrim(dom, '.'), '[^.]*[.][^.]*$') ELSE dom END"
+_FOLDED = (
+    f"replace(replace(replace(replace(translate(dom, {q(''.join(V.DOMAIN_CONFUSABLES))}, {q(''.join(V.DOMAIN_CONFUSABLES.values()))}), "
+    "'rn', 'm'), 'vv', 'w'), 'cl', 'd'), 'li', 'h')"
+)
+CTES["many_brands"] = W.brands_sql(D)
+_HOST = "lower(regexp_extract(url, '://([^/]+)', 1))"
+CTES["hosts"] = (
+    f"SELECT *, {_LAST_TWO.replace('dom', 'folded')} AS folded_reg FROM (SELECT *, {_FOLDED.replace('dom', 'domain')} AS folded FROM ("
+    f"SELECT DISTINCT domain, {_LAST_TWO.replace('dom', 'domain')} AS reg FROM (SELECT {_HOST} AS domain FROM pages WHERE {_HOST} <> '' UNION ALL SELECT domain FROM dom)))"
+)
+put("dom_brand_near", "SELECT name, brand, CAST(levenshtein(name, brand) AS INTEGER) AS edits FROM (SELECT DISTINCT folded_reg AS name FROM hosts) h "
+    "JOIN many_brands b ON levenshtein(name, brand) BETWEEN 1 AND 2")
+_FOREIGN = "reg <> brand AND reg <> split_part(brand, '.', 1) || '.com' AND NOT ends_with(domain, '.' || brand)"
+put("dom_brand_prefix", "SELECT domain, brand FROM hosts JOIN many_brands b ON starts_with(domain, brand || '.') AND reg <> brand")
+put("dom_brand_label", f"SELECT domain, brand FROM hosts JOIN many_brands b ON list_contains(string_split(domain, '.'), split_part(brand, '.', 1)) AND {_FOREIGN}")
+_MANY = {
+    key: sql.replace(" brands ", " many_brands ").replace(", brands", ", many_brands") for key, sql in _DOMAINS.items()
+}
+put("dom_brand_findings", " UNION ALL ".join(f"SELECT email_id, signal, severity, description, matched_brand FROM ({sql})" for sql in _MANY.values()))
 put("tmp_parse_date", f"SELECT email_id, {_UTC} AS sent_utc, CASE WHEN utc IS NOT NULL THEN CAST(off AS INTEGER) END AS offset_minutes FROM sent")
 _PAIR = "SELECT email_id, sender, coalesce(regexp_extract(h_to, '<([^<>]*)>$', 1), h_delivered_to) AS recipient, send_ts FROM emails"
 put("tmp_first_contact", "SELECT p.email_id, sender, recipient, 'first_contact_sender' AS signal, "
@@ -618,6 +708,24 @@ put("llm_normalise", "SELECT email_id, CAST(CAST(score_text AS DOUBLE) AS INTEGE
     "CAST(len(cats) AS INTEGER) AS finding_count FROM judged WHERE attempt = 0")
 put("llm_indicators", "SELECT category, 'high' AS severity, count(*) AS n FROM (SELECT unnest(cats) AS category FROM picked p "
     "JOIN judged j ON j.email_id = p.email_id AND j.attempt = p.attempt_used) GROUP BY category")
+put("llm_prompt", f"SELECT email_id, {q(V.PROMPT_VERSION)} AS prompt_version, prompt FROM asks")
+put("sem_to_ask", f"SELECT key, email_id, mails, {q(W.MODEL)} AS model FROM asks")
+put("sem_retry", "SELECT a.key, 1 AS attempt, r.reason, 'user: ' || a.prompt || chr(10) || 'assistant: ' || f.raw_response || chr(10) || 'user: ' || "
+    f"{q(V.RETRY_INSTRUCTION)} AS talk FROM asks a JOIN reasons r ON r.email_id = a.email_id AND r.attempt = 0 AND r.reason IS NOT NULL "
+    "JOIN replies f ON f.email_id = a.email_id AND f.attempt = 0")
+_SEM_FINAL = ("CASE WHEN semantic_score IS NULL THEN CAST(rule_score AS DECIMAL(6,2)) ELSE "
+              "least(CAST((rule_score * 45 + semantic_score * 55) AS DECIMAL(10,2)) / 100, 100)::DECIMAL(6,2) END")
+put("sem_verdicts", "SELECT email_id, key, origin, rule_score, gate_reason, semantic_score IS NOT NULL AS llm_available, "
+    "CAST(round(final, 1) AS DECIMAL(6,1)) AS final_score, "
+    f"CASE WHEN semantic_score IS NOT NULL THEN {_band('final', V.FUSED_BANDS)} ELSE {_band('final', V.RULES_ONLY_BANDS)} END AS risk_level, finding_count, "
+    f"CASE WHEN gate_reason IS NOT NULL THEN {q(V.STATUS_SKIPPED)} WHEN semantic_score IS NULL THEN {q(V.STATUS_FAILED)} "
+    f"ELSE coalesce(rationale, {q(V.FALLBACK_RATIONALE)}) || {q(V.STATUS_DONE)} END AS explanation "
+    f"FROM (SELECT s.email_id, g.key, rule_score, finding_count, v.semantic_score, v.rationale, {_SEM_FINAL} AS final, "
+    "CASE WHEN rule_score < 10 THEN 'below_lower_threshold' WHEN rule_score > 90 THEN 'above_upper_threshold' END AS gate_reason, "
+    "CASE WHEN v.origin = 'earlier' THEN 'reused' WHEN v.origin = 'now' AND v.attempt_used IS NULL THEN 'fallback' WHEN v.origin = 'now' THEN 'asked' END AS origin "
+    "FROM scores s LEFT JOIN gray g ON g.email_id = s.email_id LEFT JOIN given v ON v.key = g.key)")
+put("sem_store", "SELECT key, semantic_score, strftime(produced_at, '%Y-%m-%d %H:%M:%S') AS produced, 1::BIGINT AS parts FROM given "
+    f"WHERE (origin = 'earlier' OR attempt_used IS NOT NULL) AND produced_at > {W.AS_OF_SQL} - INTERVAL '24' HOUR AND produced_at <= {W.AS_OF_SQL}")
 put("cac_key", "SELECT email_id, key FROM keyed")
 put("cac_hit", "SELECT email_id, key, semantic_score FROM keyed JOIN fresh USING (key)")
 put("cac_miss", "SELECT key, min(email_id) AS email_id, count(*) AS mails FROM keyed WHERE key NOT IN (SELECT key FROM fresh) GROUP BY key")
@@ -635,17 +743,36 @@ put("udf_isolation", "SELECT email_id, CASE WHEN email_id % 10 IN (3, 4) THEN 0
     "CASE WHEN email_id % 10 NOT IN (3, 4) THEN CAST(length(subject) AS VARCHAR) END AS chars, "
     "CASE email_id % 10 WHEN 3 THEN 'ValueError: bad mail' WHEN 4 THEN 'unexpected result type: NoneType' END AS error FROM emails")
 
-# the first copy of a key passes, then the first that is 24 hours or more behind the last that passed
-_DATED = "SELECT k.key, e.send_ts AS ts, k.email_id FROM keyed k JOIN emails e ON e.email_id = k.email_id WHERE e.send_ts IS NOT NULL"
-ORACLE["str_dedup"] = ORACLE["cac_key"].replace("WITH ", "WITH RECURSIVE ", 1).rpartition("\n")[0] + f""",
-dated AS ({_DATED}),
-passed(key, ts, email_id) AS (
-  SELECT key, ts, email_id FROM dated QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts, email_id) = 1
+# ---- streams: rows in order of arrival, dealt into slices by id, some of them landing twice --------
+
+CTES["arrived"] = (
+    "SELECT *, CAST(email_id * 7 % 3 AS INTEGER) + again AS slice FROM (SELECT email_id, send_ts, 0 AS again FROM emails "
+    "UNION ALL SELECT email_id, send_ts, 1 FROM emails WHERE email_id % 10 = 3)"
+)
+CTES["queue"] = (
+    "SELECT k.key, a.send_ts AS ts, a.email_id, row_number() OVER (PARTITION BY k.key ORDER BY slice, a.send_ts, a.email_id) AS n "
+    "FROM keyed k JOIN arrived a ON a.email_id = k.email_id WHERE a.send_ts IS NOT NULL"
+)
+put("str_dedup", "SELECT 1 FROM queue")
+# one row of each key after the other; it passes if none of those that have passed is less than 24 hours away
+ORACLE["str_dedup"] = ORACLE["str_dedup"].replace("WITH ", "WITH RECURSIVE ", 1).rpartition("\n")[0] + """,
+ran(key, n, through, email_id, ts, seen) AS (
+  SELECT key, n, true, email_id, ts, [ts] FROM queue WHERE n = 1
   UNION ALL
-  SELECT key, ts, email_id FROM (
-    SELECT d.*, row_number() OVER (PARTITION BY d.key ORDER BY d.ts, d.email_id) AS n
-    FROM passed p JOIN dated d ON d.key = p.key AND d.ts >= p.ts + INTERVAL 24 HOUR) WHERE n = 1)
-SELECT email_id, key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS sent FROM passed
-UNION ALL SELECT k.email_id, k.key, NULL FROM keyed k JOIN emails e ON e.email_id = k.email_id WHERE e.send_ts IS NULL"""
-ORACLE["str_rate_limit"] = ORACLE["rtl_decisions"]
-ORACLE["str_first_contact"] = ORACLE["tmp_first_contact"]
+  SELECT key, n, near = 0, email_id, ts, CASE WHEN near = 0 THEN list_append(seen, ts) ELSE seen END FROM (
+    SELECT q.*, r.seen, len(list_filter(r.seen, lambda p: abs(epoch(p) - epoch(q.ts)) < 86400)) AS near
+    FROM ran r JOIN queue q ON q.key = r.key AND q.n = r.n + 1))
+SELECT email_id, key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS sent FROM ran WHERE through
+UNION ALL SELECT k.email_id, k.key, NULL FROM keyed k JOIN arrived a ON a.email_id = k.email_id WHERE a.send_ts IS NULL"""
+put("str_rate_limit", "SELECT request_id, user_id, m > 1 OR dd > 5 AS rejected, CASE WHEN m > 1 THEN 'minute' WHEN dd > 5 THEN 'day' END AS limit_window FROM ("
+    "SELECT request_id, user_id, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY slice, ts, request_id) AS m, "
+    "row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY slice, ts, request_id) AS dd FROM ("
+    "SELECT event_id AS request_id, user_id, ts, event_id * 7 % 3 AS slice FROM events UNION ALL "
+    "SELECT event_id, user_id, ts, event_id * 7 % 3 + 1 FROM events WHERE event_id % 10 = 3))")
+ORACLE["str_window_counts"] = ORACLE["rtl_window_counts"]
+put("str_first_contact", "SELECT p.email_id, sender, recipient, 'first_contact_sender' AS signal, "
+    "CASE WHEN levenshtein(folded_reg, 'paypal.com') <= 2 AND reg <> 'paypal.com' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, "
+    f"{say(V.TEXT_FIRST_CONTACT, sender='sender')} AS description FROM (SELECT * FROM (SELECT a.email_id, a.slice, m.sender, m.recipient, m.send_ts "
+    f"FROM arrived a JOIN ({_PAIR}) m ON m.email_id = a.email_id) "
+    "QUALIFY row_number() OVER (PARTITION BY sender, recipient ORDER BY slice, send_ts IS NULL, send_ts, email_id) = 1) p "
+    "JOIN dom ON dom.email_id = p.email_id")

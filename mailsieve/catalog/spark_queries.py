@@ -11,11 +11,11 @@ from mailsieve.catalog import views as W
 from mailsieve.functions import dates, redact, sanitise, text
 from mailsieve.functions.sql import lit
 from mailsieve.operators import (
-    attachments, content, custom, domains, findings, headers, limits, replies, reputation, reuse,
+    attachments, brands, content, custom, domains, findings, headers, limits, replies, reputation, reuse,
     score, temporal, validate,
 )
 from mailsieve.operators.lookup import cut_lineage
-from mailsieve.plans import reports, scoring
+from mailsieve.plans import exchange, reports, scoring
 from mailsieve.sources import mail
 from mailsieve.streaming import batches, contact, dedup, rates, scoring as live
 
@@ -321,6 +321,40 @@ def _(s, d):
     )
 
 
+# ---- domains against a brand table ------------------------------------------
+
+
+def _page_hosts(s: SparkSession, d: str) -> DataFrame:
+    """The hosts of all pages and the sender domains of all mails, once each."""
+    hosts = W.table(s, d, "pages").selectExpr("lower(regexp_extract(url, '://([^/]+)', 1)) AS domain").where("domain <> ''")
+    both = hosts.unionByName(W.emails(s, d).selectExpr(f"lower({text.sender_domain('sender')}) AS domain")).distinct()
+    return both.selectExpr("domain", f"{text.registrable('domain')} AS reg", f"{text.registrable(text.fold_domain('domain'))} AS folded_reg")
+
+
+@query("dom_brand_near")
+def _(s, d):
+    return brands.near(_page_hosts(s, d).select(F.col("folded_reg").alias("name")).distinct(), W.brands(s, d))
+
+
+@query("dom_brand_prefix")
+def _(s, d):
+    return brands.prefixed(_page_hosts(s, d), W.brands(s, d))
+
+
+@query("dom_brand_label")
+def _(s, d):
+    return brands.labelled(_page_hosts(s, d), W.brands(s, d))
+
+
+@query("dom_brand_findings")
+def _(s, d):
+    """All domain findings of all mails against the table."""
+    out = brands.add(W.emails(s, d), AS_OF.date(), W.brands(s, d))
+    return findings.unfold(out, "domains_findings").selectExpr(
+        "email_id", "signal", "severity", "description", "evidence['matched_brand'] AS matched_brand"
+    )
+
+
 # ---- time -------------------------------------------------------------------
 
 
@@ -616,13 +650,6 @@ def _(s, d):
     )
 
 
-@query("llm_prompt")
-def _(s, d):
-    analyzed = scoring.analyze(W.emails(s, d), AS_OF, keep=["email_id", "body"])
-    safe = sanitise.add(analyzed)
-    return safe.selectExpr("email_id", f"{replies.prompt('findings', 'sanitised')} AS prompt")
-
-
 @query("llm_indicators")
 def _(s, d):
     rows = replies.indicators(_semantic(s, d), ["email_id"])
@@ -672,6 +699,70 @@ def _(s, d):
     return reuse.misses(keyed, _store(keyed), AS_OF)
 
 
+# ---- asking the model -------------------------------------------------------
+
+
+def _analyzed(s: SparkSession, d: str) -> DataFrame:
+    return scoring.analyze(W.emails(s, d), AS_OF, listed=_listed(s, d), keep=["email_id", "n_chars", "body"])
+
+
+def _asked(s: SparkSession, d: str) -> tuple[exchange.Round, reuse.VerdictStore]:
+    """A round over all mails; every third has a verdict from an earlier one: fresh, 20 hours old or expired."""
+    store = reuse.VerdictStore(s, f"{batches.work_folder(s)}/verdicts")
+    scored = exchange.keyed(_analyzed(s, d), W.MODEL)
+    earlier = scored.where("key IS NOT NULL AND email_id % 3 = 0").selectExpr(
+        "key", f"{replies.fallback('CAST(email_id % 101 AS INT)')} AS verdict", "0 AS attempt_used",
+        "TIMESTAMP_NTZ '2024-01-25 11:00:00' - make_dt_interval(0, CAST(n_chars % 3 AS INT) * 20) "
+        "- make_dt_interval(0, 0, 0, email_id) AS produced_at",
+    )
+    store.put(earlier, 0)
+    return exchange.questions(scored, store, AS_OF, W.MODEL), store
+
+
+def _answers(s: SparkSession, d: str, asked: exchange.Round) -> DataFrame:
+    """The landed answers of the mails asked for."""
+    return W.replies(s, d).join(asked.asks.select("key", "email_id"), "email_id").drop("email_id")
+
+
+@query("llm_prompt")
+def _(s, d):
+    return _asked(s, d)[0].asks.selectExpr("email_id", "prompt_version", "prompt")
+
+
+@query("sem_to_ask")
+def _(s, d):
+    return _asked(s, d)[0].asks.select("key", "email_id", "mails", "model")
+
+
+@query("sem_retry")
+def _(s, d):
+    asked, _ = _asked(s, d)
+    again = exchange.retries(asked, _answers(s, d, asked).where("attempt = 0"))
+    return again.selectExpr("key", "attempt", "reason", "array_join(transform(messages, m -> concat(m.role, ': ', m.content)), '\n') AS talk")
+
+
+@query("sem_verdicts")
+def _(s, d):
+    asked, store = _asked(s, d)
+    return exchange.finish(asked, _answers(s, d, asked), store, AS_OF, 1).select(
+        "email_id", "key", "origin", "rule_score", "gate_reason", "llm_available", "final_score", "risk_level", "finding_count", "explanation"
+    )
+
+
+@query("sem_store")
+def _(s, d):
+    """The store after a round that was run twice, and a compaction."""
+    asked, store = _asked(s, d)
+    answers = _answers(s, d, asked)
+    for _ in range(2):
+        exchange.finish(asked, answers, store, AS_OF, 1)
+    store.compact(AS_OF)
+    rows = store.read(AS_OF).groupBy("key").agg(F.count("*").alias("parts"))
+    return reuse.fresh(store.read(AS_OF), AS_OF).join(rows, "key").selectExpr(
+        "key", "verdict.semantic_score AS semantic_score", "date_format(produced_at, 'yyyy-MM-dd HH:mm:ss') AS produced", "parts"
+    )
+
+
 # ---- request limits ---------------------------------------------------------
 
 
@@ -693,36 +784,45 @@ def _(s, d):
 # ---- streams ----------------------------------------------------------------
 
 
-def _live(rows: DataFrame, ts: str, handle: Callable[[str], batches.Handle], slices: int = 3) -> DataFrame:
-    """``rows`` landing in the shared folder in slices of time, each taken in by a run of its own
-    that goes on from the checkpoint of the one before; what has no time lands first."""
-    s = rows.sparkSession
+SLICES = 3
+#: rows of a slice that land a second time in the next one, by their id
+REPEATED = "{id} % 10 = 3"
+
+
+def _landing(rows: DataFrame, id_: str) -> DataFrame:
+    """``rows`` dealt into slices by their id, so that times come in no order, some of them twice."""
+    first = rows.withColumn("_slice", F.expr(f"CAST({id_} * 7 % {SLICES} AS INT)"))
+    again = first.where(REPEATED.format(id=id_)).withColumn("_slice", F.expr("_slice + 1"))
+    return first.unionByName(again)
+
+
+def _live(landing: DataFrame, handle: Callable[[str], batches.Handle]) -> DataFrame:
+    """The slices land in the shared folder one by one, each taken in by a run of its own that goes
+    on from the checkpoint of the one before."""
+    s = landing.sparkSession
     folder = batches.work_folder(s)
     step = handle(folder)
-    shares = [i / slices for i in range(1, slices)]
-    cuts = rows.agg(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), shares)).first()[0] or []
-    at = sum((F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    landing = cut_lineage(landing)
     out = None
-    for i in range(slices):
-        rows.where(at == i).write.mode("append").parquet(f"{folder}/in")
+    for i in range(SLICES + 1):
+        landing.where(f"_slice = {i}").drop("_slice").write.mode("append").parquet(f"{folder}/in")
         out = batches.run(live.read(s, f"{folder}/in", 10_000), step, folder)
     return out
 
 
 @query("str_score")
 def _(s, d):
-    docs = W.table(s, d, "documents").select("doc_id", "text", "n_chars")
-    stamps = W.emails(s, d).select(F.col("email_id").alias("doc_id"), "send_ts")
-    handle = live.scored(AS_OF, emails=lambda batch: W.emails(batch.sparkSession, d, documents=batch.drop("send_ts")), listed=_listed(s, d))
-    out = _live(docs.join(stamps, "doc_id"), "send_ts", lambda folder: handle)
-    return out.select("email_id", "rule_score", "risk_level", "gate_reason", "finding_count")
+    docs = W.table(s, d, "documents").select("doc_id", "text", "n_chars").withColumn("_slice", F.expr(f"CAST(doc_id * 7 % {SLICES} AS INT)"))
+    handle = live.scored(AS_OF, emails=lambda batch: W.emails(batch.sparkSession, d, documents=batch), listed=_listed(s, d))
+    return _live(docs, lambda folder: handle).select("email_id", "rule_score", "risk_level", "gate_reason", "finding_count")
 
 
 @query("str_dedup")
 def _(s, d):
+    """Rows in order of arrival, late and repeated ones among them."""
     stamps = W.emails(s, d).select("email_id", "send_ts")
     keyed = _keyed(s, d).join(stamps, "email_id").selectExpr("email_id AS id", "key", "send_ts AS ts")
-    out = _live(keyed, "ts", lambda folder: dedup.first_within(batches.Parts(s, f"{folder}/times", dedup.STATE)))
+    out = _live(_landing(keyed, "id"), lambda folder: dedup.first_within(batches.Parts(s, f"{folder}/times", dedup.STATE)))
     return out.select(F.col("id").alias("email_id"), "key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sent"))
 
 
@@ -731,20 +831,39 @@ def _(s, d):
     def handle(folder):
         return rates.decisions(batches.Parts(s, f"{folder}/counts", limits.COUNTS), per_minute=1, per_day=5)
 
-    out = _live(W.request_log(s, d), "ts", handle)
+    out = _live(_landing(W.request_log(s, d), "request_id"), handle)
     return out.selectExpr("request_id", "user_id", "rejected", "window AS limit_window")
 
 
+@query("str_window_counts")
+def _(s, d):
+    """Totals of a live log of six slices of time, every tenth request a slice late; a request long
+    after the last one lets all buckets come out."""
+    log = W.request_log(s, d).where("ts IS NOT NULL").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "request_id")
+    edge = log.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    first, last = edge["a"] or 0, edge["b"] or 0
+    width = (last - first) // 6 + 1
+    folder = batches.work_folder(s)
+    slices = log.withColumn("_slice", F.floor((F.unix_micros("ts") - first) / width) + F.when(F.col("request_id") % 10 == 3, 1).otherwise(0))
+    slices = cut_lineage(slices.drop("request_id"))
+    for i in range(7):
+        slices.where(f"_slice = {i}").drop("_slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    closing = s.range(1).select(F.lit(None).cast(slices.schema["user_id"].dataType).alias("user_id"), F.timestamp_micros(F.lit(last + 4 * width)).alias("ts"))
+    closing.write.mode("append").parquet(f"{folder}/in")
+    counts = rates.window_counts(live.read(s, f"{folder}/in", 1), "1 minute", f"{2 * width // 1_000_000 + 1} seconds")
+    batches.append(counts, folder)
+    out = s.read.schema(counts.schema).parquet(f"{folder}/out")
+    return out.selectExpr("date_format(bucket_start, 'yyyy-MM-dd HH:mm:ss') AS bucket", "user_id", "requests", "requests > 1 AS over_limit")
+
+
 @query("str_first_contact")
 def _(s, d):
     mails = W.emails(s, d).selectExpr("email_id", "sender", f"{text.recipient('headers')} AS recipient", "send_ts AS ts")
 
     def handle(folder):
-        return contact.first_contacts(batches.Parts(s, f"{folder}/pairs", contact.PAIRS), internal_domains=["paypal.com"])
+        return contact.first_contacts(contact.PairStore(s, f"{folder}/pairs", 100), internal_domains=["paypal.com"])
 
-    # mails without a date come last in the batch operator
-    late = F.coalesce(F.col("ts"), F.lit("9999-01-01 00:00:00").cast("timestamp_ntz"))
-    return _live(mails.withColumn("_land", late), "_land", handle)
+    return _live(_landing(mails, "email_id"), handle)
 
 
 # ---- extension points -------------------------------------------------------

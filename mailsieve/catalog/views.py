@@ -9,6 +9,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mailsieve.fixed_values import BRANDS
 
 AS_OF = datetime(2024, 1, 25, 12, 0, 0)
 AS_OF_SQL = "TIMESTAMP '2024-01-25 12:00:00'"
@@ -229,6 +230,17 @@ def replies_sql(dialect: dict[str, str]) -> str:
     return "\nUNION ALL ".join(rows)
 
 
+def brands_sql(dialect: dict[str, str]) -> str:
+    """The built-in brands and one for every page's host, spelt a little differently by its number."""
+    own = ", ".join(f"({text(b)})" for b in BRANDS)
+    host = "regexp_extract(url, '://([^/]+)', 1)"
+    return (
+        f"SELECT brand FROM (VALUES {own}) v(brand) UNION "
+        f"SELECT CASE page_id % 4 WHEN 0 THEN {host} WHEN 1 THEN 'x' || {host} WHEN 2 THEN substr({host}, 2) ELSE replace({host}, 'e', '3') END "
+        f"FROM {dialect['pages']} WHERE {host} <> ''"
+    )
+
+
 def attachments_values() -> str:
     """``(kind, position, filename, mime_type, size_bytes)`` as VALUES rows."""
     rows = []
@@ -303,5 +315,9 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, replies_sql(SPARK))
 
 
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, brands_sql(SPARK))
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), "user_id", "ts")

@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _files(spark: SparkSession, path: str):
+def files(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
@@ -40,8 +40,8 @@ def _files(spark: SparkSession, path: str):
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder; what is written there goes when the application ends."""
     base = f"{shared_folder(spark)}/mailsieve-{spark.sparkContext.applicationId}"
-    files, target = _files(spark, base)
-    files.deleteOnExit(target)
+    system, target = files(spark, base)
+    system.deleteOnExit(target)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -55,8 +55,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Deletes the files of a table that ``cut`` gave, once nothing reads it any more."""
     for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        files, target = _files(df.sparkSession, path)
-        files.delete(target, True)
+        system, target = files(df.sparkSession, path)
+        system.delete(target, True)
 
 
 def numbered(df: DataFrame, group: list[str], order: list[Column], bucket: Column, name: str = "idx") -> DataFrame:

@@ -91,8 +91,7 @@ def _age() -> str:
     )
 
 
-def _homograph() -> str:
-    brand = f"array_contains({BRANDS}, _folded_reg)"
+def _homograph(brand: str = f"array_contains({BRANDS}, _folded_reg)") -> str:
     text = case(
         (brand, fill(V.TEXT_HOMOGRAPH_BRAND, domain="_domain", brand="_folded_reg")),
         otherwise=fill(V.TEXT_HOMOGRAPH, domain="_domain"),
@@ -104,13 +103,13 @@ def _homograph() -> str:
     )
 
 
-def _typosquat() -> str:
+def _typosquat(near: str = typosquats("_folded_reg")) -> str:
     one = finding(
         "true", NAME, "typosquatting", KIND, case(("s.edits = 1", "'HIGH'"), otherwise="'MEDIUM'"),
         fill(V.TEXT_TYPOSQUAT, domain="_domain", edits="s.edits", brand="s.brand"),
         {"domain": "_domain", "matched_brand": "s.brand"},
     )
-    return f"transform({typosquats('_folded_reg')}, s -> {one})"
+    return f"transform({near}, s -> {one})"
 
 
 def _subdomain() -> str:
@@ -154,3 +153,11 @@ def add(
     return ready.selectExpr(
         *df.columns, f"CAST(concat({lists}) AS array<{RAW.simpleString()}>) AS {to}"
     )
+
+
+def found(ready: DataFrame, kept: Iterable[str], to: str = "domains_findings") -> DataFrame:
+    """The findings of rows from ``prepare`` whose brands are known already: in ``_exact``, ``_typos``,
+    ``_prefix`` and ``_label``, null where there is none."""
+    near = "coalesce(_typos, CAST(array() AS array<struct<brand:string,edits:int>>))"
+    lists = [collect([_age()]), collect([_homograph("coalesce(_exact, false)")]), _typosquat(near), collect([_subdomain()])]
+    return ready.selectExpr(*kept, f"CAST(concat({', '.join(lists)}) AS array<{RAW.simpleString()}>) AS {to}")

@@ -191,10 +191,10 @@ def check(replies: DataFrame, *, strict: bool = False) -> DataFrame:
     )
 
 
-def fallback() -> str:
+def fallback(score: str = str(V.FALLBACK_SCORE)) -> str:
     return _verdict({
         "schema_version": lit(V.REPLY_SCHEMA_VERSION),
-        "semantic_score": str(V.FALLBACK_SCORE),
+        "semantic_score": score,
         "verdict": lit(V.FALLBACK_VERDICT),
         "confidence": lit(V.FALLBACK_CONFIDENCE),
         "social_engineering_indicators": f"CAST(array() AS array<{INDICATOR}>)",

@@ -80,24 +80,18 @@ def with_registration(emails: DataFrame, dates: DataFrame, limit: int = BROADCAS
     return lookup(keyed, dates, "registrable_domain", "left", limit=limit).drop("registrable_domain")
 
 
-def verdicts(analyzed: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
-    """Add score, gate, fused score, band, warning and explanation.
+NO_VERDICT = "CAST(NULL AS struct<semantic_score:int,rationale:string>)"
 
-    ``semantic(email_id, verdict)`` holds one checked model verdict per mail.  Without
-    the table every mail is gated; a gray-zone mail without a row took the failed path.
-    """
-    kept = analyzed.columns
-    scored = analyzed.selectExpr(*kept, f"{score.rule_score('findings')} AS rule_score")
-    if semantic is None:
-        none = "CAST(NULL AS struct<semantic_score:int,rationale:string>)"
-        joined = scored.selectExpr("*", f"{none} AS _v")
-    else:
-        joined = scored.join(semantic.selectExpr("email_id", "verdict AS _v"), "email_id", "left")
-    has_model = "false" if semantic is None else "true"
-    gated = joined.selectExpr(
-        *kept, "rule_score", "_v", f"{score.gate_reason('rule_score', has_model)} AS gate_reason"
-    )
-    flagged = gated.selectExpr(
+
+def with_gate(analyzed: DataFrame, has_model: bool = True) -> DataFrame:
+    """Add ``rule_score`` and ``gate_reason``, null in the gray zone."""
+    scored = analyzed.selectExpr("*", f"{score.rule_score('findings')} AS rule_score")
+    return scored.selectExpr("*", f"{score.gate_reason('rule_score', str(has_model).lower())} AS gate_reason")
+
+
+def fused(joined: DataFrame, kept: Iterable[str]) -> DataFrame:
+    """Fused score, band, warning and explanation of gated rows with the model's verdict in ``_v``, null if it has none."""
+    flagged = joined.selectExpr(
         *kept, "rule_score", "gate_reason",
         "gate_reason IS NOT NULL AS llm_gated",
         "gate_reason IS NULL AND _v IS NOT NULL AS llm_available",
@@ -118,6 +112,19 @@ def verdicts(analyzed: DataFrame, semantic: DataFrame | None = None) -> DataFram
     )
 
 
+def verdicts(analyzed: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """Add score, gate, fused score, band, warning and explanation.
+
+    ``semantic(email_id, verdict)`` holds one checked model verdict per mail.  Without
+    the table every mail is gated; a gray-zone mail without a row took the failed path.
+    ``plans.exchange`` asks the model itself and joins the gray zone only.
+    """
+    gated = with_gate(analyzed, semantic is not None)
+    if semantic is None:
+        return fused(gated.selectExpr("*", f"{NO_VERDICT} AS _v"), analyzed.columns)
+    return fused(gated.join(semantic.selectExpr("email_id", "verdict AS _v"), "email_id", "left"), analyzed.columns)
+
+
 def score_emails(
     emails: DataFrame,
     *,

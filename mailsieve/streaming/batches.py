@@ -2,42 +2,44 @@
 
 Every live job here is ``foreachBatch``: a batch is an ordinary table, so the batch plans score
 it with feeds and verdicts of any size.  A batch writes its own folder and is written anew when
-it is repeated, so a restart neither loses nor doubles rows.  Tables that grow from batch to
-batch are folders of such parts.
+it is repeated, so a restart neither loses nor doubles rows.  State is a table in parts (see
+``sources.parts``), of which a batch reads and writes those it touches; the number of the batch
+is the version, so a repeated batch finds the state that it found first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailsieve.functions.shared import new_path
+from mailsieve.sources.parts import Parts
 
 Handle = Callable[[DataFrame, int], DataFrame]
 
 
-class Parts:
-    """A table in the shared folder with one part for each batch."""
+def day_part(ts: str) -> Column:
+    """The name of a day's part: its number since 1970."""
+    return F.unix_date(F.col(ts).cast("date")).cast("string")
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
 
-    def before(self, batch: int) -> DataFrame:
-        """What the batches before this one wrote; a part of the batch itself is a repeated try."""
-        if batch == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path).where(f"batch < {batch}").drop("batch")
+def days_of(rows: DataFrame, ts: str = "ts") -> list[int]:
+    """The days that the rows of a batch lie in; rows without a time have none."""
+    return sorted(int(r[0]) for r in rows.where(f"{ts} IS NOT NULL").select(day_part(ts)).distinct().collect())
 
-    def latest(self, batch: int) -> DataFrame:
-        """The part of the batch before this one."""
-        if batch == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch - 1}")
 
-    def put(self, rows: DataFrame, batch: int) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/batch={batch}")
+def oldest_kept(state: Parts, keep_days: int | None, batch: int) -> int | None:
+    """The oldest day that a batch still finds, ``keep_days`` behind the newest before it; what is older goes.
+
+    Asked at the beginning of a batch, so that a repeated batch finds the same.
+    """
+    before = [int(name) for name, versions in state.versions().items() if versions[0] < batch]
+    if keep_days is None or not before:
+        return None
+    oldest = max(before) - keep_days
+    state.drop([str(day) for day in before if day < oldest])
+    return oldest
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -59,3 +61,13 @@ def run(stream: DataFrame, handle: Handle, folder: str | None = None, *, once: b
         return writer.start()
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def append(rows: DataFrame, folder: str, *, once: bool = True):
+    """A stream of finished rows, written to ``<folder>/out`` as they come out; with ``once`` until
+    all there is has been taken in."""
+    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/log").option("path", f"{folder}/out")
+    query = (writer.trigger(availableNow=True) if once else writer).start()
+    if once:
+        query.awaitTermination()
+    return query

@@ -59,6 +59,14 @@ def drop(df: DataFrame) -> None:
         system.delete(target, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front of it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def numbered(df: DataFrame, group: list[str], order: list[Column], bucket: Column, name: str = "idx") -> DataFrame:
     """``df`` with ``name``: 0, 1, 2 ... within ``group``, by bucket and then by ``order``.
 
@@ -67,17 +75,13 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], bucket: Colum
     The columns of ``group`` hold no nulls.
     ``df`` is read twice: cut it before if it is costly.
     """
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)) - 1
-    return (
-        rows.withColumn("_at", inside)
-        .join(offsets, [*group, "_bucket"])
-        .withColumn(name, F.col("_at") + F.col("_offset"))
-        .drop("_bucket", "_at", "_offset")
-    )
+    at, offset, part, n = (unused(df, c) for c in ("_at", "_offset", "_bucket", "_n"))
+    rows = df.withColumn(part, bucket)
+    counts = rows.groupBy(*group, part).agg(F.count("*").alias(n))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
+    inside = F.row_number().over(Window.partitionBy(*group, part).orderBy(*order)) - 1
+    return rows.withColumn(at, inside).join(offsets, [*group, part]).withColumn(name, F.col(at) + F.col(offset)).drop(part, at, offset)
 
 
 def buckets(rows: int, per: int = BUCKET_ROWS) -> int:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from mailsieve.functions.shared import cut, ship
-from mailsieve.llm.tokens import Encoder, column, gather
+from mailsieve.llm.tokens import Encoder, Memo, column, gather
 from mailsieve.operators.lookup import BROADCAST_BYTES, bounded, lookup
 
 PAIR = 1 << 15  # a pair of ids is A * PAIR + B
 SLICE_BYTES = 2 << 20  # of text, or one text that is longer
-MEMO_PIECES, MEMO_CHARS = 100_000, 40  # pieces of B kept by a task, twice over at most, and their longest length
+MEMO_PIECES = 200_000  # kept by a task, for each vocabulary
 FREQUENT = 1_000
 COUNTED = 1_000_000  # distinct pairs counted in a task before they are handed on
 DIGITS = 6  # of a token in the written groups: five of the id and a separator
@@ -108,33 +109,22 @@ class Aligner:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.a = Encoder(tokenizers.a_path, True, MEMO_PIECES)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # the cut behind a letter is A's alone
+        self.a, self.memo = Encoder(tokenizers.a_path, True, MEMO_PIECES, signs=False), Memo(MEMO_PIECES)
 
-    def _b_ids(self, pieces: list[str]) -> list[bytes]:
+    def _learn(self, pieces: list[str]) -> list[bytes]:
         """B's ids of distinct pieces.  The library puts a space before what it is given: it takes the
         place of a piece's own, and else comes off again, apart behind a line break."""
-        if len(self.memo) > MEMO_PIECES:
-            self.older, self.memo = self.memo, {}
-        known = [self.memo.get(p) or self.older.get(p) for p in pieces]
-        missing = [p for p, k in zip(pieces, known) if k is None and p]
-        given = [p[1:] if p[0] == " " else "\n" + p for p in missing]
-        fresh = {}
-        for piece, ids in zip(missing, self.tokenizers.b.encode(given, num_threads=1)):
-            if piece[0] != " ":
-                ids = ids[2:]
-            fresh[piece] = np.array(ids or [self.tokenizers.b_space], np.uint32).tobytes()
-        out = [fresh.get(p, b"") if k is None else k for p, k in zip(pieces, known)]
-        self.memo.update((p, ids) for p, ids in zip(pieces, out) if ids and len(p) <= MEMO_CHARS)
-        return out
+        given = [p[1:] if p[:1] == " " else "\n" + p for p in pieces]
+        got = self.tokenizers.b.encode(given, num_threads=1)
+        space = [self.tokenizers.b_space]
+        return [array("I", (ids or space) if p[:1] == " " else ids[2:]).tobytes() for p, ids in zip(pieces, got)]
 
     def _encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both vocabularies, each with the places where the texts' ids begin."""
-        cuts = self.a._cut(texts)
+        cuts = self.a.cut(texts)
         coded = cuts.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        return [gather(ids(pieces), cuts, coded) for ids in (self.a._ids, self._b_ids)]
+        return [gather(*memo.ids(coded.dictionary, learn), cuts, coded) for memo, learn in ((self.a.memo, self.a.learn), (self.memo, self._learn))]
 
     def align(self, texts: pa.Array) -> dict[str, np.ndarray | list[str]]:
         """Of texts with the space before them: numbers of tokens and groups, digest of the groups, and

@@ -21,6 +21,7 @@ from mailsieve.functions.shared import buckets, numbered, ship
 BLOCK_DOCS = 16
 OTHER = "(other)"
 LONGEST_PERIOD = 100_000
+MOST_SLOTS = 4_000_000
 
 
 def one_period(shares: dict[str, int]) -> dict[str, np.ndarray]:
@@ -62,21 +63,31 @@ def schedule(blocks: dict[str, int], shares: dict[str, int]) -> dict[str, list[t
 
 def mix(docs: DataFrame, shares: dict[str, int], *, other: int = 1, block_docs: int = BLOCK_DOCS, seed: int = 0) -> DataFrame:
     """``docs`` with ``mix_source``, ``mix_block`` (number within the source), ``mix_slot`` (the
-    block's place in the mix) and ``mix_place`` (the document's place in the block).
-
-    ``shares`` are whole numbers, at most ``LONGEST_PERIOD`` in all; other sources and null
-    share ``other`` between them.  Within a source documents come in an order that hashes of
-    ``seed`` and doc_id give; equal rows are taken in any order.  The last block of a source
-    may be short.
+    block's place in the mix) and ``mix_place`` (the document's place in the block); columns of
+    these names are replaced.
+
+    ``shares`` are whole numbers; all other sources share ``other`` equally, each with blocks,
+    release times and deadlines of its own, null among them as ``(other)``.  The period, the sum
+    of all weights as whole numbers, is at most ``LONGEST_PERIOD``, which bounds the number of
+    sources; so are all periods together at most ``MOST_SLOTS``.  Within a source documents come
+    in an order that hashes of ``seed`` and doc_id give; equal rows are taken in any order.  The
+    last block of a source may be short.
     """
-    if other < 1 or any(n < 1 for n in shares.values()) or sum(shares.values()) + other > LONGEST_PERIOD:
-        raise ValueError("shares are at least 1 and at most LONGEST_PERIOD in all")
+    if other < 1 or any(n < 1 for n in shares.values()):
+        raise ValueError("shares are at least 1")
     ship(docs.sparkSession)
-    named = F.when(F.col("source").isin(list(shares)), F.col("source")).otherwise(OTHER)
-    rows = docs.withColumn("mix_source", F.coalesce(named, F.lit(OTHER)))
-    counts = {r["mix_source"]: r["n"] for r in rows.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
+    docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_place")
+    rows = docs.withColumn("mix_source", F.coalesce("source", F.lit(OTHER)))
+    counts = {r["mix_source"]: r["n"] for r in rows.groupBy("mix_source").agg(F.count("*").alias("n")).limit(LONGEST_PERIOD + 1).collect()}
+    unnamed = [s for s in counts if s not in shares]
+    parts = max(1, len(unnamed))
+    weights = {s: n * parts for s, n in shares.items()} | {s: other for s in unnamed}
+    if sum(weights.values()) > LONGEST_PERIOD:
+        raise ValueError("the weights of all sources are more than LONGEST_PERIOD in all")
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    phases = schedule(blocks, {**shares, OTHER: other})
+    phases = schedule(blocks, weights)
+    if sum(len(p[3]) for found in phases.values() for p in found) > MOST_SLOTS:
+        raise ValueError("the periods of all phases are more than MOST_SLOTS in all")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     spread = F.pmod(order, F.lit(buckets(sum(counts.values())))).cast("int")
     rows = numbered(rows, ["mix_source"], [order, F.col("doc_id")], spread, "mix_block")

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from mailsieve.functions.shared import cut, ship
+from mailsieve.functions.shared import cut, drop, ship, unused
 from mailsieve.llm.links import components
 from mailsieve.llm.tokens import column
 
@@ -25,7 +25,6 @@ DF_BITS = 16
 HASH_BITS = 44
 TILE = 512
 PLAUSIBLE = 0.5  # share of common samples below which a pair is not compared; 0.8 falls short by chance once in 10^5
-MOST_MARKS = 1 << 28
 SLICE_BYTES = 2 << 20
 CHUNK = 1 << 15
 
@@ -44,9 +43,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     """The powers of the hash base and of its inverse, by place."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        _POWERS[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, base)]) for base in (_P, _P_BACK)]
+    made = lambda size: [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, base)]) for base in (_P, _P_BACK)]
+    if n > SLICE_BYTES + 2:  # one very long text: not kept
+        return made(n)
+    if not _POWERS:
+        _POWERS[:] = made(SLICE_BYTES + 1)
     return _POWERS
 
 
@@ -201,44 +202,35 @@ def sketch(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(sketched, "doc_id bigint, text_key string, samples binary, bands array<bigint>")
 
 
-def marks(ids: DataFrame, count: int) -> np.ndarray:
-    """A bitmap of hashes of ``ids(doc_id)``, 16 bits an id but at most ``MOST_MARKS`` bits."""
-    size = min(MOST_MARKS, 1 << max(10, (16 * count).bit_length()))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - size.bit_length() + 1)
-    words_ = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(size // 32, np.uint32)
-    out[words_["w"].to_numpy()] = words_["bits"].to_numpy().astype(np.uint32)
-    return out
-
+def shapes_of(docs: DataFrame, idf: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """``node`` and the hashes and weights of its text's shingles as 8- and 4-byte numbers, for
+    ``wanted(node, doc_id, text_key)``.
 
-def vectors(docs: DataFrame, idf: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """``doc_id, text_key`` and the hashes and weights of the text's shingles as 8- and 4-byte numbers.
-
-    Documents whose ids the bitmap ``wanted`` has, and the few others whose hashes are marked.
+    A text is drawn from the document that stands for it; where that row is repeated, a task
+    draws it once, so a node may come once from every partition.
     """
-    shift = 64 - (len(wanted) * 32).bit_length() + 1
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), shift)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
-            at = column(whole, "place").to_numpy(zero_copy_only=False)
-            batch = whole.filter(pa.array((wanted[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+            nodes = column(whole, "node").to_pylist()
+            new = [n not in seen and not seen.add(n) for n in nodes]
+            batch = whole.filter(pa.array(new, pa.bool_()))
             for begin, n, rows, hashes in words(column(batch, "text")):
                 owner, shingle, weight = shingles(rows, hashes, idf)
                 cuts = np.searchsorted(owner, np.arange(n + 1))
                 parts = [(shingle[a:b].tobytes(), weight[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [*[column(batch, c).slice(begin, n) for c in ("doc_id", "text_key")],
-                     pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())],
-                    ["doc_id", "text_key", "hashes", "weights"])
+                    [column(batch, "node").slice(begin, n), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())],
+                    ["node", "hashes", "weights"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", F.md5(F.col("text")).alias("text_key"), "text", place.alias("place"))
-    return rows.mapInArrow(made, "doc_id bigint, text_key string, hashes binary, weights binary")
+    keyed = docs.where("text is not null").select("doc_id", F.md5(F.col("text")).alias("text_key"), "text")
+    same = (keyed.text_key == wanted.text_key) & keyed.doc_id.eqNullSafe(wanted.doc_id)
+    return keyed.join(wanted, same).select("node", "text").mapInArrow(made, "node bigint, hashes binary, weights binary")
 
 
 def plausible(members: DataFrame, least: float) -> DataFrame:
-    """The members ``set, doc_id, samples`` that share ``least`` of all samples with another of their set."""
+    """The members ``set, node, samples`` that share ``least`` of all samples with another of their set."""
 
     def close(table: pa.Table) -> pa.Table:
         lines = np.frombuffer(b"".join(table["samples"].to_pylist()), np.uint32).reshape(table.num_rows, -1)
@@ -247,9 +239,9 @@ def plausible(members: DataFrame, least: float) -> DataFrame:
             near = (lines[i + 1 :] == lines[i]).mean(1) >= least
             keep[i] |= near.any()
             keep[i + 1 :] |= near
-        return table.select(["set", "doc_id"]).filter(pa.array(keep))
+        return table.select(["set", "node"]).filter(pa.array(keep))
 
-    return members.select("set", "doc_id", "samples").groupBy("set").applyInArrow(close, "set string, doc_id bigint")
+    return members.select("set", "node", "samples").groupBy("set").applyInArrow(close, "set string, node bigint")
 
 
 def linked(ids: list[int], hashes: list[bytes], weights: list[bytes], label: list[int], similarity: float) -> list[tuple[int, int]]:
@@ -286,71 +278,110 @@ def linked(ids: list[int], hashes: list[bytes], weights: list[bytes], label: lis
 
 
 def _compare(members: DataFrame, shapes: DataFrame, similarity: float) -> DataFrame:
-    """Links within each group of ``members(set, doc_id, label)``."""
+    """Links within each group of ``members(set, node, label)``."""
 
     def links(table: pa.Table) -> pa.Table:
-        ids = table["doc_id"].to_pylist()
+        ids = table["node"].to_pylist()
         found = linked(ids, table["hashes"].to_pylist(), table["weights"].to_pylist(), table["label"].to_pylist(), similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return members.join(shapes, "doc_id").groupBy("set").applyInArrow(links, "a bigint, b bigint")
+    return members.join(shapes, "node").groupBy("set").applyInArrow(links, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, kept`` for every row of ``docs(doc_id, text)``.
+def grouped(docs: DataFrame, *, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs(doc_id, text)``: every row's ``doc_id`` and ``text_key``, and for every distinct text
+    ``text_key, class_id, kept_id, kept_key``.
 
-    ``class_id`` is the smallest doc_id that links lead to, ``kept`` tells whether that is the
-    document itself.  Texts that are equal are one class; null, empty and wordless texts link
-    with nothing but equal non-null ones.  Null texts are classes of their own.  Rows that
-    repeat a doc_id repeat its class, and of different texts under one doc_id that with the
-    smallest digest speaks for it; a null doc_id has a null class and is kept.
+    The nodes of the links are texts, so different texts under one doc_id are told apart and
+    equal ones under different ids, or none, are one.  ``class_id`` is the smallest doc_id of a
+    class, null if none of its rows has one; ``kept_id`` and ``kept_key`` name the document that
+    stands for it: that id's, and of several texts that with the smallest digest.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     idf = frequencies(docs)
     rows = cut(sketch(docs, idf), "sketches")
-    # equal texts are one from here on
-    texts = cut(rows.where("text_key is not null and doc_id is not null").groupBy("text_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("samples").alias("samples"), F.first("bands").alias("bands")), "texts")
-    nodes = texts.groupBy("doc_id").agg(F.min(F.struct("text_key", "samples", "bands")).alias("t"))
-    nodes = nodes.select("doc_id", "t.*").where("bands is not null")
-    banded = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    # equal texts are one from here on; the number is drawn once, when the table is written
+    texts = cut(rows.where("text_key is not null").groupBy("text_key").agg(
+        F.min("doc_id").alias("doc_id"), F.first("samples").alias("samples"), F.first("bands").alias("bands")
+    ).withColumn("node", F.monotonically_increasing_id()), "texts")
+    nodes = texts.where("bands is not null")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sets = banded.groupBy("band", "key").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("leader"), F.bit_xor(F.xxhash64("doc_id")).alias("x"),
-        F.sum(F.shiftright(F.xxhash64(F.lit(7), "doc_id"), 24)).alias("s")).where("n > 1")
+        F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.sum(F.shiftright(F.xxhash64(F.lit(7), "node"), 24)).alias("s")).where("n > 1")
     # the same texts often meet in several bands: one of these is enough
     sets = sets.groupBy("n", "leader", "x", "s").agg(F.min(F.struct("band", "key")).alias("b"))
     sets = sets.select("b.band", "b.key", "n", "leader", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    members = cut(banded.join(sets, ["band", "key"]).join(nodes.select("doc_id", "text_key", "samples"), "doc_id").withColumn(
-        "tile", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.col("tiles")).cast("int")), "members")
+    members = cut(banded.join(sets, ["band", "key"]).join(nodes.select("node", "samples"), "node").withColumn(
+        "tile", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("tiles")).cast("int")), "members")
     # every tile with its set's leader; tiles of the same set meet in it
     name = lambda *c: F.concat_ws(":", "band", "key", *c)
     small = plausible(members.where("tiles = 1").withColumn("set", name("tile")), PLAUSIBLE)
-    wide = members.where("tiles > 1")
-    first = wide.where("doc_id != leader").select(name("tile").alias("set"), "doc_id")
-    leaders = wide.where("doc_id != leader").select(name("tile").alias("set"), F.col("leader").alias("doc_id")).distinct()
+    wide = members.where("tiles > 1").drop("samples")
+    first = wide.where("node != leader").select(name("tile").alias("set"), "node")
+    leaders = wide.where("node != leader").select(name("tile").alias("set"), F.col("leader").alias("node")).distinct()
     first = cut(small.unionByName(first).unionByName(leaders), "sets")
-    needed = first.select("doc_id").distinct().join(nodes.select("doc_id", "text_key"), "doc_id")
-    needed = cut(needed, "needed")
-    drawn = vectors(docs, idf, marks(needed, needed.count()))
-    shapes = cut(drawn.join(needed, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]), "shapes")
-    shapes = shapes.drop("text_key")
-    edges = cut(_compare(first.withColumn("label", F.col("doc_id")), shapes, similarity), "links")
+    needed = cut(nodes.select("node", "doc_id", "text_key").join(first.select("node").distinct(), "node", "left_semi"), "needed")
+    shapes = cut(shapes_of(docs, idf, needed), "shapes")
+    edges = cut(_compare(first.withColumn("label", F.col("node")), shapes, similarity), "links")
     found = cut(components(edges), "components")
+    drop(first)
+    drop(edges)
     # sets of many tiles that are not one component yet: tiles against tiles
-    wide = wide.drop("samples", "text_key").join(found, F.col("doc_id") == F.col("node"), "left").withColumn(
-        "label", F.coalesce("component", "doc_id"))
+    wide = wide.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("component", "node")).drop("_n")
     apart = wide.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     if not apart.isEmpty():
         wide = wide.join(apart.select("band", "key"), ["band", "key"])
-        pairs = wide.select("band", "key", "doc_id", "label", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+        pairs = wide.select("band", "key", "node", "label", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
         pairs = pairs.where("tile != with").select(
-            name(F.least("tile", "with"), F.greatest("tile", "with")).alias("set"), "doc_id", "label")
+            name(F.least("tile", "with"), F.greatest("tile", "with")).alias("set"), "node", "label")
         more = cut(_compare(pairs, shapes, similarity), "links")
         stars = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = cut(components(stars.unionByName(more)), "components")
-    exact = rows.select("doc_id", "text_key").join(
-        texts.select("text_key", F.col("doc_id").alias("first")), "text_key", "left")
-    final = exact.withColumn("first", F.coalesce("first", "doc_id")).join(found, F.col("first") == F.col("node"), "left")
-    class_id = F.coalesce("component", "first")
-    return final.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    for done in (members, needed, shapes):
+        drop(done)
+    # the name of each class of several texts; any other text is a class of its own
+    keys = texts.select("node", "doc_id", "text_key")
+    several = found.join(keys, "node")
+    best = several.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("b"))
+    named = several.select("node", "component").join(best, "component").select("node", F.col("b.doc_id").alias("_id"), F.col("b.text_key").alias("_key"))
+    joined = keys.join(named, "node", "left")
+    alone = F.col("_key").isNull()
+    kept_id = F.when(alone, F.col("doc_id")).otherwise(F.col("_id"))
+    classes_ = joined.select("text_key", kept_id.alias("class_id"), kept_id.alias("kept_id"), F.coalesce("_key", "text_key").alias("kept_key"))
+    return rows.select("doc_id", "text_key"), cut(classes_, "classes")
+
+
+def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id, kept`` for every row of ``docs(doc_id, text)``.
+
+    ``class_id`` is the smallest doc_id of the texts that links lead to, null if none of them has
+    an id; ``kept`` tells whether the row is the document that stands for the class, one text
+    under one id (rows that repeat both are all marked).  Texts that are equal are one class;
+    empty and wordless texts link with nothing but equal ones.  Null texts are kept, each a
+    class of its own under its id.
+    """
+    rows, found = grouped(docs, similarity=similarity)
+    joined = rows.join(found, "text_key", "left")
+    kept = F.col("text_key").isNull() | ((F.col("text_key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    class_id = F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return joined.select("doc_id", class_id.alias("class_id"), kept.alias("kept"))
+
+
+def unique(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns; rows with a null text all stay.
+
+    What goes is looked up, so rows that stay are not shuffled unless they are repeated: of
+    rows with the same doc_id and text, any one stays.
+    """
+    rows, found = grouped(docs, similarity=similarity)
+    joined = rows.where("text_key is not null").groupBy("text_key", "doc_id").agg(F.count("*").alias("_times")).join(found, "text_key")
+    stands = (F.col("text_key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    key, own = unused(docs, "_key"), unused(docs, "_id")
+    verdict = cut(joined.select(F.col("text_key").alias(key), F.col("doc_id").alias(own), stands.alias("stands"), "_times"), "verdict")
+    same = (F.md5(F.col("text")) == F.col(key)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(own))
+    kept = docs.join(verdict.where("NOT stands").select(key, own), same, "left_anti")
+    repeated = verdict.where("stands AND _times > 1").select(key, own)
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)

@@ -86,9 +86,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     With columns ``order``, the pieces of each class fill its bins in their order, and a
     sequence's number is the place of its last piece among those that fill a bin; the
     incomplete bins come last.  So the first sequences hold the first pieces, but for those in
-    one open bin of each class.  Without, pieces are dealt by hash.
+    one open bin of each class.  Without, pieces are dealt by hash.  Columns ``class``,
+    ``sequence_id``, ``offset``, ``number``, ``_bin``, ``_all``, ``_closed`` and ``_range`` of
+    ``pieces`` are replaced or go.
     """
-    spark = pieces.sparkSession
+    pieces = pieces.drop("class", "sequence_id", "offset", "number", "_bin", "_all", "_closed", "_range")
     rows = cut(pieces.withColumn("class", (F.lit(capacity) / F.col("length")).cast("int")), "pieces")
     along = [F.col(c) for c in order]
     if order:

@@ -70,8 +70,15 @@ def grams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 def features(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and feature of each text's buckets, by row: each bucket, and again where it is found twice."""
-    pairs, times = np.unique((row.astype(np.int64) << (BITS + 1)) | bucket, return_counts=True)
-    pairs = np.sort(np.concatenate([pairs, pairs[times > 1] + TWICE]))
+    pairs = row.astype(np.int64)
+    pairs <<= BITS + 1
+    pairs |= bucket
+    pairs.sort()
+    first = np.ones(len(pairs), bool)
+    np.not_equal(pairs[1:], pairs[:-1], out=first[1:])
+    twice = pairs[1:][~first[1:] & first[:-1]]
+    pairs = np.concatenate([pairs[first], twice + TWICE])
+    pairs.sort()
     return pairs >> (BITS + 1), pairs & (2 * TWICE - 1)
 
 

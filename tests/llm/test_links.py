@@ -127,10 +127,25 @@ def test_classes(spark, corpus, monkeypatch):
     assert all(found[a] == found[b] for a, b in sure)
     assert all(high[i] == high[found[i]] for i in ids)
     assert all(found[i] == i for i in ids if low[i] == i == high[i])
-    assert {r.kept for r in got if r.doc_id is None} == {True}
+    # the row without an id is a copy of the first
+    assert {(r.class_id, r.kept) for r in got if r.doc_id is None} == {(0, False)}
     assert neardup.classes(df.where("false")).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Different texts under one id, copies without an id, repeated rows, clashing columns."""
+    alpha, beta = "alpha one two three four five six seven", "beta nine eight seven six five four three"
+    rows = [(1, alpha, 1), (1, beta, 2), (2, beta, 3), (None, alpha, 4), (3, None, 5), (3, None, 6), (None, None, 7), (4, "x", 8), (4, "x", 8),
+            (None, "lonely", 9), (None, "lonely", 10), (5, "", 11), (6, "", 12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _key int")
+    got = neardup.unique(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [
+        (1, alpha), (1, beta), (3, None), (3, None), (None, None), (4, "x"), (None, "lonely"), (5, "")]))
+    found = {(r.doc_id, r.class_id, r.kept) for r in neardup.classes(df).collect()}
+    assert {(1, 1, True), (2, 1, False), (None, 1, False), (None, None, True), (6, 5, False)} <= found
+
+
 def test_linked_finds_a_spanning_set():
     rng = np.random.default_rng(3)
     sets = [np.sort(rng.choice(60, rng.integers(30, 60), replace=False)).astype(np.uint64) for _ in range(40)]
@@ -226,6 +241,25 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == states["packing"].count()
 
 
+STAGE_ROWS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _key int, mix_block int, spans int, score double"
+
+
+@pytest.mark.parametrize("rows", [[], [
+    (1, "alpha beta gamma delta epsilon zeta", "en", "src0", 36, 1, 1, 1, 0.5), (1, "another text under the same id here", None, "own", 3, 1, 1, 1, 0.5),
+    (None, "no id at all, but a text of its own", "en", None, None, 1, 1, 1, 0.5), (2, None, "en", "src1", None, 1, 1, 1, None), (3, "", "en", "own", 0, 1, 1, 1, 0.5),
+    (4, "long text " * 5000, "en", "src2", 1, 1, 1, 1, 0.5), (5, "password=abcdef123", "en", "src2", 18, 1, 1, 1, 0.5)]], ids=["empty", "odd"])
+def test_each_stage_on_odd_tables(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, STAGE_ROWS)
+    spark.createDataFrame([(1, 0), (None, 1)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = sorted(str(r[0]) for r in rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        assert sorted(str(r.doc_id) for r in got.collect()) == want, name
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).where("start = 0")
+    assert sorted(str(r.doc_id) for r in packed.collect()) == want
+
+
 def test_sequences_follow_the_mix(spark, sf_dir):
     shares = {"src0": 19, "src1": 8, "src5": 3}
     names = [s for s, n in shares.items() for _ in range(n * 64)]

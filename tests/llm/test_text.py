@@ -75,7 +75,8 @@ def test_mix(spark):
     blocks = {}
     for r in got:
         blocks.setdefault(r.mix_slot, []).append((r.mix_source, r.mix_block, r.mix_place))
-    want = simulated({"a": 18, "b": 7, mixing.OTHER: 3}, {"a": 2, "b": 1, mixing.OTHER: 1})
+    # the two sources without a share have half a part each
+    want = simulated({"a": 18, "b": 7, mixing.OTHER: 2, "else": 1}, {"a": 4, "b": 2, mixing.OTHER: 1, "else": 1})
     assert [sorted({x[:2] for x in blocks[i]}) for i in range(len(blocks))] == [[w] for w in want]
     assert all(sorted(x[2] for x in v) == list(range(len(v))) for v in blocks.values())
     assert mixing.mix(df.limit(0), {"a": 1}).count() == 0

@@ -586,6 +586,15 @@ put("reject_quarantine", "SELECT email_id, array_to_string(list_filter(["
     f"CASE WHEN NOT {_SENDER_OK} THEN 'value is not a valid email address' END, "
     f"CASE WHEN length({_SUBJECT}) > 998 THEN 'String should have at most 998 characters' END"
     f"], lambda x: x IS NOT NULL), '; ') AS reasons FROM emails WHERE NOT {_SENDER_OK} OR length({_SUBJECT}) > 998")
+put("src_json", "SELECT CASE WHEN email_id % 29 <> 7 THEN email_id END AS email_id, CASE WHEN email_id % 29 = 7 THEN 'unparseable' WHEN email_id % 23 = 5 THEN 'wrong_type' "
+    "WHEN len(found) > 0 THEN 'refused' ELSE 'valid' END AS outcome, CASE WHEN email_id % 29 = 7 THEN 'not JSON' WHEN email_id % 23 = 5 THEN 'not of the schema' "
+    "ELSE array_to_string(found, '; ') END AS reasons, email_id % 29 = 7 OR email_id % 23 = 5 AS raw_kept FROM (SELECT email_id, list_filter(["
+    f"CASE WHEN NOT {_SENDER_OK} THEN 'value is not a valid email address' END, "
+    f"CASE WHEN length({_SUBJECT}) > 998 THEN 'String should have at most 998 characters' END], lambda x: x IS NOT NULL) AS found FROM emails)")
+ORACLE["src_json_stream"] = ORACLE["src_json"]
+put("str_verdict_dto", "SELECT s.email_id, CAST(rule_score AS DECIMAL(6,1)) AS final_score, "
+    f"{_band('rule_score', V.RULES_ONLY_BANDS)} AS risk_level, CAST(rule_score AS DECIMAL(6,1)) AS deterministic_score, finding_count, "
+    f"'spf' AS first_source, true AS llm_gated, {q(V.WARNING_GATED)} AS semantic_warning, '1.0' AS schema_version FROM scores s")
 put("val_sender", f"SELECT email_id, {_SENDER_OK} AS ok FROM emails")
 put("val_subject_len", "SELECT email_id, length(subject) <= 998 AS ok FROM emails")
 put("val_body_bytes", "SELECT email_id, strlen(body) * CASE WHEN email_id % 100 = 7 THEN 400 ELSE 1 END <= 1048576 AS ok FROM emails")
@@ -605,6 +614,9 @@ put("rep_url_explode", "SELECT email_id, position, url FROM links")
 for _name in ("prj_urls", "rep_url_explode"):
     ORACLE[f"{_name}_all"] = ORACLE[_name].replace(" QUALIFY row_number() OVER (PARTITION BY email_id ORDER BY first_at) <= 10", "")
 put("hdr_detail", f"SELECT email_id, {_texts(V.SPF_TEXT, 'spf1')} AS spf_text, {_texts(V.DKIM_TEXT, 'dkim')} AS dkim_text, {_texts(V.DMARC_TEXT, 'dmarc')} AS dmarc_text FROM auth")
+put("dom_registration", "SELECT email_id, severity, description FROM ("
+    + _DOMAINS["dom_age"].replace(_BORN, "(SELECT *, date_diff('day', born, DATE '2024-01-25') AS age FROM (SELECT *, "
+    "CASE WHEN length(reg) % 3 <> 0 THEN CAST(DATE '2024-01-20' - to_days(CAST(length(reg) * 9 AS INTEGER)) AS DATE) END AS born FROM dom))") + ")")
 put("dom_fold", "SELECT email_id, domain, folded, folded_reg AS folded_registrable FROM dom")
 put("dom_subdomain_prefix", f"SELECT email_id, domain, brand FROM {_PREFIX}")
 put("dom_subdomain_label", f"SELECT email_id, domain, brand FROM {_LABEL}")
@@ -636,6 +648,10 @@ put("tmp_first_contact", "SELECT p.email_id, sender, recipient, 'first_contact_s
     "QUALIFY row_number() OVER (PARTITION BY sender, recipient ORDER BY send_ts IS NULL, send_ts, email_id) = 1) p "
     "JOIN dom ON dom.email_id = p.email_id")
 
+_SCORE_OF = "CAST(least(coalesce(sum(f.weight) FILTER ({0}), 0), 100) AS INTEGER)"
+put("rep_unavailable", f"SELECT e.email_id, {_SCORE_OF.format(chr(102) + '.analyzer <> ' + q('reputation'))} AS rule_score, "
+    f"CAST(count(f.email_id) FILTER (f.analyzer <> 'reputation') AS INTEGER) AS finding_count, "
+    f"{_SCORE_OF.format('f.signal <> ' + q('urlhaus_listed'))} AS with_one_feed FROM emails e LEFT JOIN findings f ON f.email_id = e.email_id GROUP BY e.email_id")
 put("set_union_findings", "SELECT email_id, analyzer, signal, type, severity, weight FROM findings")
 put("agg_det_score", "SELECT email_id, rule_score FROM scores")
 put("agg_finding_count", "SELECT email_id, count(*) AS finding_count FROM findings GROUP BY email_id")
@@ -657,6 +673,10 @@ put("report_risk", "SELECT risk_level, coalesce(gate_reason, 'none') AS gate_rea
 put("str_score", "SELECT email_id, rule_score, "
     f"{_band('rule_score', V.RULES_ONLY_BANDS)} AS risk_level, 'no_llm_provider' AS gate_reason, finding_count FROM scores")
 
+_LIMIT = " QUALIFY row_number() OVER (PARTITION BY email_id ORDER BY first_at) <= 10"
+ORACLE["set_union_findings_all"] = ORACLE["set_union_findings"].replace(_LIMIT, "")
+put("fus_verdict_all", "SELECT email_id, rule_score, final_score, risk_level, llm_available, llm_gated, finding_count FROM verdicts")
+ORACLE["fus_verdict_all"] = ORACLE["fus_verdict_all"].replace(_LIMIT, "")
 put("san_zero_width", f"SELECT email_id, md5({_stripped('body')}) AS cleaned FROM emails")
 put("san_homograph", f"SELECT email_id, md5({_mapped('body')}) AS mapped FROM emails")
 put("san_role_tokens", "SELECT conv_id, turn, md5(" + _roles("role || ': ' || text || chr(10) || 'Human: </EMAIL_METADATA>'") + ") AS neutral FROM conversations")
@@ -692,17 +712,37 @@ def _masked(pattern: str, mask: str) -> str:
 
 put("pii_log_parts", f"SELECT doc_id, {_masked(V.LOG_EMAIL, V.PII_MASK)} AS email, {_masked(V.LOG_SSN, V.PII_MASK)} AS ssn, "
     f"{_masked(V.LOG_CARD, V.PII_MASK)} AS card, {_masked(V.LOG_IPV4, chr(92) + '1.' + V.SECRET_MASK)} AS ipv4 FROM documents")
+# the phone rule looks at its neighbours; here they are captured and put back, twice because two numbers may share one
+_PHONE = "(^|[^0-9])" + V.LOG_PHONE.removeprefix("(?<!\\d)").removesuffix("(?!\\d)") + "($|[^0-9])"
+
+
+def _log_masked(text: str) -> str:
+    out = _sub(text, "([À-ÖØ-öø-ʯͰ-ԯ]+)", f"{_MARK}\\1{_MARK}")
+    out = _sub(out, V.LOG_EMAIL, V.PII_MASK)
+    for _ in range(2):
+        out = _sub(out, _PHONE, f"\\1{V.PII_MASK}\\2")
+    for pattern in (V.LOG_SSN, V.LOG_CARD):
+        out = _sub(out, pattern, V.PII_MASK)
+    return f"replace({_sub(out, V.LOG_IPV4, chr(92) + '1.' + V.SECRET_MASK)}, {q(_MARK)}, '')"
+
+
+put("pii_log", f"SELECT doc_id, md5({_log_masked('text')}) AS redacted FROM documents")
+_MASKED_SENDER = _log_masked("sender")
+_MASKED_EVENT = _log_masked("'mail from ' || sender")
+put("pii_event_rows", f"SELECT email_id, {_MASKED_EVENT} AS event, {_MASKED_SENDER} AS user_name, {q(V.SECRET_MASK)} AS api_key, "
+    f"{q(V.SECRET_MASK)} AS password, {_MASKED_SENDER} AS note FROM emails")
 put("pii_secret_keys", "SELECT email_id, '[REDACTED]' AS token, '[REDACTED]' AS auth, 'call 10.20.30.[REDACTED]' AS note, subject FROM emails")
 
 put("llm_extract_json", "SELECT email_id, attempt, js AS json FROM found")
 put("llm_parse_ok", "SELECT email_id, attempt, coalesce(js IS NOT NULL AND json_valid(js) AND json_type(js) = 'OBJECT', false) AS is_object FROM found")
-put("llm_missing_fields", "SELECT email_id, attempt, array_to_string(missing, ',') AS missing FROM judged")
+put("llm_missing_fields", "SELECT f.email_id, f.attempt, array_to_string(missing, ',') AS missing FROM found f "
+    "LEFT JOIN judged j ON j.email_id = f.email_id AND j.attempt = f.attempt")
 put("llm_validate", "SELECT email_id, attempt, reason FROM reasons")
-put("llm_fallback", "SELECT r.email_id, CASE WHEN reason IS NULL THEN CAST(score_text AS INTEGER) ELSE 40 END AS semantic_score, "
+put("llm_fallback", "SELECT r.email_id, r.attempt, CASE WHEN reason IS NULL THEN CAST(score_text AS INTEGER) ELSE 40 END AS semantic_score, "
     "CASE WHEN reason IS NULL THEN verdict ELSE 'suspicious' END AS verdict, CASE WHEN reason IS NULL THEN confidence ELSE 'low' END AS confidence, "
     "CASE WHEN reason IS NULL THEN action ELSE 'verify_via_separate_channel' END AS action, "
     f"CASE WHEN reason IS NULL THEN rationale ELSE {q(V.FALLBACK_RATIONALE)} END AS rationale "
-    "FROM reasons r LEFT JOIN judged j ON j.email_id = r.email_id AND j.attempt = r.attempt WHERE r.attempt = 0")
+    "FROM reasons r LEFT JOIN judged j ON j.email_id = r.email_id AND j.attempt = r.attempt")
 put("llm_retry_pick", "SELECT email_id, attempt_used, semantic_score, verdict FROM picked")
 put("llm_normalise", "SELECT email_id, CAST(CAST(score_text AS DOUBLE) AS INTEGER) AS score, verdict, coalesce(confidence, 'low') AS confidence, rationale, version AS schema_version, "
     "CAST(len(cats) AS INTEGER) AS finding_count FROM judged WHERE attempt = 0")
@@ -726,6 +766,13 @@ put("sem_verdicts", "SELECT email_id, key, origin, rule_score, gate_reason, sema
     "FROM scores s LEFT JOIN gray g ON g.email_id = s.email_id LEFT JOIN given v ON v.key = g.key)")
 put("sem_store", "SELECT key, semantic_score, strftime(produced_at, '%Y-%m-%d %H:%M:%S') AS produced, 1::BIGINT AS parts FROM given "
     f"WHERE (origin = 'earlier' OR attempt_used IS NOT NULL) AND produced_at > {W.AS_OF_SQL} - INTERVAL '24' HOUR AND produced_at <= {W.AS_OF_SQL}")
+_CHARS = "length(prompt)"
+put("udf_semantic", "SELECT email_id, origin, semantic_score, CAST(round(final, 1) AS DECIMAL(6,1)) AS final_score, "
+    f"CASE WHEN semantic_score IS NOT NULL THEN {_band('final', V.FUSED_BANDS)} ELSE {_band('final', V.RULES_ONLY_BANDS)} END AS risk_level "
+    f"FROM (SELECT *, {_SEM_FINAL} AS final FROM (SELECT s.email_id, s.rule_score, CASE WHEN a.key IS NULL THEN NULL WHEN failed THEN 'fallback' ELSE 'asked' END AS origin, "
+    "CASE WHEN a.key IS NULL THEN NULL WHEN failed THEN 40 ELSE chars % 101 END::INTEGER AS semantic_score FROM scores s LEFT JOIN gray g ON g.email_id = s.email_id "
+    f"LEFT JOIN (SELECT key, {_CHARS} AS chars, {_CHARS} % 7 = 0 OR {_CHARS} % 6 = 0 AS failed FROM gray "
+    "QUALIFY row_number() OVER (PARTITION BY key ORDER BY email_id) = 1) a ON a.key = g.key))")
 put("cac_key", "SELECT email_id, key FROM keyed")
 put("cac_hit", "SELECT email_id, key, semantic_score FROM keyed JOIN fresh USING (key)")
 put("cac_miss", "SELECT key, min(email_id) AS email_id, count(*) AS mails FROM keyed WHERE key NOT IN (SELECT key FROM fresh) GROUP BY key")

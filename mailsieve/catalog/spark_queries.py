@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mailsieve import fixed_values as V
 from mailsieve.catalog import views as W
 from mailsieve.functions import dates, redact, sanitise, text
+from mailsieve.functions.shared import ship
 from mailsieve.functions.sql import lit
 from mailsieve.operators import (
     attachments, brands, content, custom, domains, findings, headers, limits, replies, reputation, reuse,
@@ -16,7 +17,7 @@ from mailsieve.operators import (
 )
 from mailsieve.operators.lookup import cut_lineage
 from mailsieve.plans import exchange, reports, scoring
-from mailsieve.sources import mail
+from mailsieve.sources import mail, sinks
 from mailsieve.streaming import batches, contact, dedup, rates, scoring as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +99,72 @@ def _(s, d):
     )
 
 
+def _posted(s: SparkSession, d: str) -> str:
+    """A folder of JSON lines: the mails as they are posted, some broken off, some with a text for headers."""
+    good = "named_struct('email_id', email_id, 'from_address', concat('  ', sender, ' '), 'subject', CASE WHEN n_chars % 17 <> 14 THEN concat(subject, ' ') END, 'body', body"
+    lines = W.emails(s, d).selectExpr(
+        f"CASE WHEN email_id % 29 = 7 THEN substr(to_json({good})), 1, 40) WHEN email_id % 23 = 5 THEN to_json({good}, 'headers', 'none')) "
+        f"ELSE to_json({good}, 'headers', headers, 'attachment_metadata', attachments)) END AS value"
+    )
+    folder = f"{batches.work_folder(s)}/posted"
+    lines.repartition(4).write.text(folder)
+    return folder
+
+
+def _outcomes(judged: DataFrame) -> DataFrame:
+    return judged.selectExpr("email_id", "outcome", "array_join(errors, '; ') AS reasons", "_raw IS NOT NULL AS raw_kept")
+
+
+@query("src_json")
+def _(s, d):
+    return _outcomes(mail.judged(mail.read_posted(s, _posted(s, d))))
+
+
+@query("src_json_stream")
+def _(s, d):
+    """The same lines as a stream of files; each batch is parted by outcome in one job."""
+    folder = batches.work_folder(s)
+    shape = "email_id bigint, outcome string, reasons string, raw_kept boolean"
+    table = sinks.LiveTable(s, f"{folder}/requests", shape)
+
+    def handle(rows, batch):
+        out = _outcomes(mail.judged(rows))
+        table.put(out, batch, F.col("outcome"))
+        return out.limit(0)
+
+    batches.run(mail.stream_posted(s, _posted(s, d), 2), handle, folder)
+    kinds = [table.read(kind) for kind in ("valid", "refused", "wrong_type", "unparseable")]
+    return findings.union_all(kinds)
+
+
+_DTO = ["email_id", "final_score", "risk_level", "deterministic_score", "size(deterministic_findings) AS finding_count",
+        "try_element_at(deterministic_findings, 1).source AS first_source", "llm_gated", "semantic_warning", "schema_version"]
+
+
+@query("str_verdict_dto")
+def _(s, d):
+    """Live verdicts as JSON objects; every batch is written twice, as after a restart."""
+    docs = W.table(s, d, "documents").select("doc_id", "text", "n_chars").withColumn("_slice", F.expr(f"CAST(doc_id * 7 % {SLICES} AS INT)"))
+    score_batch = live.scored(AS_OF, emails=lambda batch: W.emails(batch.sparkSession, d, documents=batch), listed=_listed(s, d))
+    shape = scoring.response(score_batch(docs.drop("_slice").limit(0), 0)).schema
+    made: list[sinks.LiveTable] = []
+
+    def handle(folder):
+        table = sinks.LiveTable(s, f"{folder}/dto", shape, "json")
+        made.append(table)
+
+        def step(rows, batch):
+            out = cut_lineage(scoring.response(score_batch(rows, batch)))
+            for _ in range(2):
+                table.put(out, batch)
+            return out.select("email_id")
+
+        return step
+
+    _live(docs, handle)
+    return made[0].read().selectExpr(*_DTO)
+
+
 @query("verdict_dto")
 def _(s, d):
     out = scoring.response(_scored(s, d))
@@ -299,6 +366,17 @@ _domain_rule("dom_typosquat", "typosquatting")
 _domain_rule("dom_subdomain_best", "subdomain_abuse")
 
 
+@query("dom_registration")
+def _(s, d):
+    """Ages from a table of registration dates, joined on the registrable domain."""
+    mails = W.emails(s, d).drop("registered_date")
+    domain = text.registrable(f"lower({text.sender_domain('sender')})")
+    known = mails.selectExpr(f"{domain} AS registrable_domain").distinct().where("length(registrable_domain) % 3 <> 0")
+    dates_table = known.selectExpr("registrable_domain", "CAST(date_sub(DATE '2024-01-20', length(registrable_domain) * 9) AS STRING) AS registered_date")
+    out = domains.add(scoring.with_registration(mails, dates_table), AS_OF.date(), only=["domain_age"])
+    return findings.unfold(out, "domains_findings").select("email_id", "severity", "description")
+
+
 @query("dom_fold")
 def _(s, d):
     ready = domains.prepare(W.emails(s, d), AS_OF.date())
@@ -417,6 +495,15 @@ _feed_rule("rep_phish_feed", False, True)
 _feed_rule("rep_both_feeds", True, True)
 
 
+@query("rep_unavailable")
+def _(s, d):
+    """Scores without any feed, and with one of the two only."""
+    none = scoring.score_emails(W.emails(s, d), as_of=AS_OF).selectExpr("email_id", "rule_score", "finding_count")
+    one = reputation.combine(None, W.phish_feed(s, d), s)
+    some = scoring.score_emails(W.emails(s, d), as_of=AS_OF, listed=one).selectExpr("email_id", "rule_score AS with_one_feed")
+    return none.join(some, "email_id")
+
+
 # ---- findings, score --------------------------------------------------------
 
 
@@ -427,6 +514,13 @@ def _(s, d):
     return findings.unfold(mails, "findings").select("email_id", "analyzer", "signal", "type", "severity", "weight")
 
 
+@query("set_union_findings_all")
+def _(s, d):
+    """Without the original's limit of ten links a mail."""
+    mails = scoring.analyze(W.emails(s, d), AS_OF, listed=_listed(s, d), max_urls=None)
+    return findings.unfold(mails, "findings").select("email_id", "analyzer", "signal", "type", "severity", "weight")
+
+
 @query("agg_det_score")
 def _(s, d):
     e = W.emails(s, d).select("email_id")
@@ -489,6 +583,13 @@ def _(s, d):
     )
 
 
+@query("fus_verdict_all")
+def _(s, d):
+    """All links of a mail looked up."""
+    out = scoring.score_emails(W.emails(s, d), as_of=AS_OF, listed=_listed(s, d), semantic=_semantic(s, d), max_urls=None)
+    return out.select("email_id", "rule_score", "final_score", "risk_level", "llm_available", "llm_gated", "finding_count")
+
+
 @query("fus_risk_level")
 def _(s, d):
     points = "CAST(n_chars % 101 AS DECIMAL(6,2))"
@@ -613,8 +714,8 @@ def _(s, d):
 @query("llm_missing_fields")
 def _(s, d):
     found = W.replies(s, d).selectExpr("email_id", "attempt", f"{replies.extract_json('raw_response')} AS j")
-    return found.where("j IS NOT NULL").selectExpr("email_id", "attempt", "try_parse_json(j) AS v").selectExpr(
-        "email_id", "attempt", f"array_join({replies.missing_fields('v')}, ',') AS missing"
+    return found.selectExpr("email_id", "attempt", "try_parse_json(j) AS v").selectExpr(
+        "email_id", "attempt", f"CASE WHEN v IS NOT NULL THEN array_join({replies.missing_fields('v')}, ',') END AS missing"
     )
 
 
@@ -625,9 +726,9 @@ def _(s, d):
 
 @query("llm_fallback")
 def _(s, d):
-    first = replies.check(W.replies(s, d)).where("attempt = 0")
-    return first.selectExpr("email_id", f"coalesce(verdict, {replies.fallback()}) AS v").selectExpr(
-        "email_id", "v.semantic_score AS semantic_score", "v.verdict AS verdict",
+    first = replies.check(W.replies(s, d))
+    return first.selectExpr("email_id", "attempt", f"coalesce(verdict, {replies.fallback()}) AS v").selectExpr(
+        "email_id", "attempt", "v.semantic_score AS semantic_score", "v.verdict AS verdict",
         "v.confidence AS confidence", "v.recommended_user_action AS action", "v.rationale AS rationale",
     )
 
@@ -881,6 +982,29 @@ def _(s, d):
     return long.selectExpr("email_id", "signal", "severity", "weight", "evidence['chars'] AS chars")
 
 
+@query("udf_semantic")
+def _(s, d):
+    """A model of one's own, asked on the workers: some answers refused, some calls failing."""
+    def setup():
+        def answer(messages):
+            chars = len(messages[0]["content"])
+            if chars % 7 == 0:
+                raise TimeoutError("no answer")
+            if chars % 3 == 0 and (len(messages) == 1 or chars % 2 == 0):
+                return "no json here"
+            return W.REPLIES[0].replace('"semantic_score": 70', f'"semantic_score": {chars % 101}')
+
+        return answer
+
+    ship(s)
+    store = reuse.VerdictStore(s, f"{batches.work_folder(s)}/verdicts")
+    asked = exchange.begin(_analyzed(s, d), store, AS_OF, W.MODEL)
+    answers = exchange.ask(asked, custom.model_port(setup, W.MODEL, AS_OF)).drop("error")
+    return exchange.finish(asked, answers, store, AS_OF, 0).selectExpr(
+        "email_id", "origin", "llm_result.semantic_score AS semantic_score", "final_score", "risk_level"
+    )
+
+
 @query("udf_isolation")
 def _(s, d):
     def rule(mail: dict) -> list:

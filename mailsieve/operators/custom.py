@@ -7,12 +7,14 @@ one fail loses that analyzer's findings only, and says so.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from mailsieve import fixed_values as V
+from mailsieve.functions.dates import ntz
 from mailsieve.operators.findings import RAW, collect
 
 Rule = Callable[[dict], list]
@@ -76,3 +78,34 @@ def python_analyzer(
         return ran.select(*kept, *cols)
 
     return add
+
+
+Answer = Callable[[list[dict]], str]
+ANSWERS = "key string, attempt int, raw_response string, error string"
+
+
+def model_port(setup: Callable[[], Answer], model: str, as_of: datetime) -> Callable[[DataFrame], DataFrame]:
+    """A model called from the workers: ``setup`` opens it, once for each task, and gives a function from
+    messages (dicts of ``role`` and ``content``) to the raw answer.
+
+    The port turns ``(key, attempt, messages)`` into ``(key, attempt, model, produced_at,
+    raw_response, error)``.  Rows come in batches, so a task holds one batch at a time.  A call that
+    fails has a null answer and says why; it fails no other row.
+    """
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answer = setup()
+        for rows in batches:
+            out = []
+            for key, attempt, messages in zip(rows["key"], rows["attempt"], rows["messages"]):
+                try:
+                    out.append((key, attempt, answer([{"role": m["role"], "content": m["content"]} for m in messages]), None))
+                except Exception as exc:        # the call's failure is this row's alone
+                    out.append((key, attempt, None, f"{type(exc).__name__}: {exc}"))
+            yield pd.DataFrame(out, columns=["key", "attempt", "raw_response", "error"])
+
+    def port(asked: DataFrame) -> DataFrame:
+        told = asked.select("key", F.col("attempt").cast("int").alias("attempt"), "messages").mapInPandas(call, ANSWERS)
+        return told.selectExpr("key", "attempt", f"'{model}' AS model", f"{ntz(as_of)} AS produced_at", "raw_response", "error")
+
+    return port

@@ -1,8 +1,9 @@
 """Joins against side tables whose size is not known in advance.
 
 ``bounded`` measures a side with one aggregate job; only a side proven small is
-broadcast.  Beyond the bound both sides shuffle, and keys that fill more than
-``HOT_ROWS`` rows on the big side are split over ``SALTS`` tasks.
+broadcast.  Beyond the bound both sides shuffle, and hot keys of the big side, those with more
+than ``HOT_ROWS`` rows and more than one row in ``MOST_HOT``, are split over ``SALTS`` tasks; there
+are less than ``MOST_HOT`` of them however large the table is.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from mailsieve.functions.shared import shared_folder
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
+MOST_HOT = 1_000
 SALTS = 64
 
 
@@ -33,9 +35,9 @@ def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows: at most ``count / rows`` of them, so a small table."""
+    """Keys with more than ``rows`` rows and more than one row in ``MOST_HOT``: less than ``MOST_HOT`` keys."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.where(F.col("_n") > rows).select(key)
+    return counts.where(F.col("_n") > max(rows, df.count() // MOST_HOT)).select(key)
 
 
 def lookup(

@@ -20,12 +20,16 @@ NAME = "reputation"
 SIGNALS = ["urlhaus_listed", "phishtank_listed"]
 
 
-_MALWARE = (
-    "named_struct('threat', coalesce(threat, 'malware_download'), "
-    "'url_status', coalesce(url_status, 'unknown'), "
-    f"'tags', slice(coalesce(tags, CAST(array() AS array<string>)), 1, {V.MAX_TAGS}), "
-    "'id', CAST(id AS STRING))"
-)
+def _malware(max_tags: int | None) -> str:
+    tags = "coalesce(tags, CAST(array() AS array<string>))"
+    if max_tags is not None:
+        tags = f"slice({tags}, 1, {max_tags})"
+    return (
+        "named_struct('threat', coalesce(threat, 'malware_download'), "
+        f"'url_status', coalesce(url_status, 'unknown'), 'tags', {tags}, 'id', CAST(id AS STRING))"
+    )
+
+
 _PHISH = (
     "named_struct('phish_id', coalesce(CAST(phish_id AS STRING), 'unknown'), "
     "'page', coalesce(phish_detail_page, ''), 'verified', coalesce(verified, false))"
@@ -34,13 +38,16 @@ _MALWARE_TYPE = "struct<threat:string,url_status:string,tags:array<string>,id:st
 _PHISH_TYPE = "struct<phish_id:string,page:string,verified:boolean>"
 
 
-def combine(malware: DataFrame | None, phish: DataFrame | None, spark: SparkSession) -> DataFrame:
+def combine(
+    malware: DataFrame | None, phish: DataFrame | None, spark: SparkSession, max_tags: int | None = V.MAX_TAGS
+) -> DataFrame:
     """Both feeds as one table ``url, malware, phish``, one row per listed URL, with
-    defaults filled in.  No feed means no rows of it."""
+    defaults filled in.  No feed means no rows of it.  Tags beyond ``max_tags`` are left out, as in
+    the original; None keeps all."""
     malware = spark.createDataFrame([], MALWARE_FEED) if malware is None else malware
     phish = spark.createDataFrame([], PHISH_FEED) if phish is None else phish
     listed = malware.where("query_status = 'is_listed' AND url IS NOT NULL").selectExpr(
-        "url", f"CAST({_MALWARE} AS {_MALWARE_TYPE}) AS malware", f"CAST(NULL AS {_PHISH_TYPE}) AS phish"
+        "url", f"CAST({_malware(max_tags)} AS {_MALWARE_TYPE}) AS malware", f"CAST(NULL AS {_PHISH_TYPE}) AS phish"
     )
     confirmed = phish.where("in_database AND valid AND url IS NOT NULL").selectExpr(
         "url", f"CAST(NULL AS {_MALWARE_TYPE}) AS malware", f"CAST({_PHISH} AS {_PHISH_TYPE}) AS phish"

@@ -9,6 +9,7 @@ gray zone are never sanitised, hashed or joined.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -70,14 +71,15 @@ def begin(analyzed: DataFrame, store: reuse.VerdictStore, as_of: datetime, model
 
 def retries(asked: Round, answers: DataFrame) -> DataFrame:
     """What to ask once more, ``(key, attempt, reason, messages)``: the question, the refused answer
-    and the correction, for contents whose only landed answer so far is refused.
+    and the correction, for contents whose only landed answer so far is refused.  A call that failed,
+    which has no answer, is not repeated.
 
     ``answers(key, attempt, model, produced_at, raw_response)``.
     """
     landed = replies.check(answers).groupBy("key").agg(
         F.count("*").alias("n"), F.expr("min_by(struct(attempt, reason, raw_response), attempt) AS _a")
     )
-    refused = landed.where("n = 1 AND _a.attempt = 0 AND _a.reason IS NOT NULL")
+    refused = landed.where("n = 1 AND _a.attempt = 0 AND _a.reason IS NOT NULL AND _a.raw_response IS NOT NULL")
     talk = ", ".join(
         f"named_struct('role', {lit(role)}, 'content', {content})"
         for role, content in (("user", "prompt"), ("assistant", "coalesce(_a.raw_response, '')"), ("user", lit(V.RETRY_INSTRUCTION)))
@@ -85,6 +87,16 @@ def retries(asked: Round, answers: DataFrame) -> DataFrame:
     return asked.asks.join(refused, "key").selectExpr("key", "_a.attempt + 1 AS attempt", "_a.reason", f"array({talk}) AS messages")
 
 
+def ask(asked: Round, port: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All questions put to a model on the spot (see ``custom.model_port``), refused answers once more.
+
+    Both passes are written, so no question is asked again when a plan is run twice.
+    """
+    one = "array(named_struct('role', 'user', 'content', prompt))"
+    first = cut(port(asked.asks.selectExpr("key", "0 AS attempt", f"{one} AS messages")), "answers")
+    return first.unionByName(cut(port(retries(asked, first.drop("error"))), "answers"))
+
+
 def finish(
     asked: Round, answers: DataFrame, store: reuse.VerdictStore, as_of: datetime, round_no: int, *, limit: int = BROADCAST_BYTES
 ) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from mailsieve import fixed_values as V
+from mailsieve.functions.sql import case
 from mailsieve.functions.text import bare_address, clip, recipient, strip
+from mailsieve.operators.validate import errors
 from mailsieve.schema import ATTACHMENT, REQUEST
 
 _NO_FILES = f"CAST(array() AS array<{ATTACHMENT.simpleString()}>)"
 
 
+CORRUPT = "_raw"
+_POSTED = T.StructType([*REQUEST.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """JSON objects, one per line; fields of the wrong type become null."""
     return clean(spark.read.schema(REQUEST).json(path, mode="PERMISSIVE"))
@@ -21,6 +27,33 @@ def stream_requests(spark: SparkSession, path: str, files_per_trigger: int = 64)
     return clean(source.json(path))
 
 
+def read_posted(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines as they were posted; a line that does not fit the schema is kept in ``_raw``."""
+    return spark.read.schema(_POSTED).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+
+
+def stream_posted(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    source = spark.readStream.schema(_POSTED).option("maxFilesPerTrigger", files_per_trigger)
+    return source.option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE").json(path)
+
+
+def judged(posted: DataFrame) -> DataFrame:
+    """Cleaned requests with ``errors`` and ``outcome``: valid, refused (against a limit), wrong_type
+    (JSON, but not of the schema) or unparseable.
+
+    Every line has one outcome and none is lost: what the schema cannot hold stays in ``_raw``.
+    """
+    checked = clean(posted).selectExpr("*", f"{errors('from_address', 'subject', 'body', 'headers', 'attachment_metadata')} AS _errors")
+    outcome = case(
+        (f"{CORRUPT} IS NOT NULL AND try_parse_json({CORRUPT}) IS NULL", "'unparseable'"), (f"{CORRUPT} IS NOT NULL", "'wrong_type'"),
+        ("size(_errors) > 0", "'refused'"), otherwise="'valid'",
+    )
+    why = case(
+        (f"{CORRUPT} IS NULL", "_errors"), (f"try_parse_json({CORRUPT}) IS NULL", "array('not JSON')"), otherwise="array('not of the schema')",
+    )
+    return checked.selectExpr(*posted.columns, f"{why} AS errors", f"{outcome} AS outcome")
+
+
 def clean(requests: DataFrame) -> DataFrame:
     """Trim strings, reduce the sender to the bare address, put empty values for missing ones."""
     done = {

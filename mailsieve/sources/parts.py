@@ -20,8 +20,8 @@ from mailsieve.functions.shared import files
 class Parts:
     """``schema`` has no column ``part``; names of parts hold letters, digits, ``-`` and ``_``."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, form: str = "parquet"):
+        self.spark, self.path, self.schema, self.form = spark, path, schema, form
 
     def versions(self) -> dict[str, list[int]]:
         """The marked versions of every part, oldest first."""
@@ -44,7 +44,7 @@ class Parts:
         paths = [f"{self.path}/data/{v}/part={n}" for n, v in self._newest(names, before).items()]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        return self.spark.read.schema(self.schema).format(self.form).load(paths)
 
     def put(self, rows: DataFrame, version: int, names: Iterable[str] | None = None) -> None:
         """Versions of the parts that the column ``part`` of ``rows`` names.
@@ -53,7 +53,7 @@ class Parts:
         stays for a repeated try; older ones go.
         """
         target = f"{self.path}/data/{version}"
-        rows.write.mode("overwrite").partitionBy("part").parquet(target)
+        rows.write.mode("overwrite").partitionBy("part").format(self.form).save(target)
         system, folder = files(self.spark, target)
         written = {s.getPath().getName().partition("=")[2] for s in system.listStatus(folder) if s.isDirectory()}
         touched = written | set(names or ())

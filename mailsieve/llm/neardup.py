@@ -207,7 +207,8 @@ def shapes_of(docs: DataFrame, idf: np.ndarray, wanted: DataFrame) -> DataFrame:
     ``wanted(node, doc_id, text_key)``.
 
     A text is drawn from the document that stands for it; where that row is repeated, a task
-    draws it once, so a node may come once from every partition.
+    draws it once, so a node may come once from every partition.  ``wanted`` grows with the
+    documents, so it is never broadcast, at any size.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,7 @@ def shapes_of(docs: DataFrame, idf: np.ndarray, wanted: DataFrame) -> DataFrame:
 
     keyed = docs.where("text is not null").select("doc_id", F.md5(F.col("text")).alias("text_key"), "text")
     same = (keyed.text_key == wanted.text_key) & keyed.doc_id.eqNullSafe(wanted.doc_id)
-    return keyed.join(wanted, same).select("node", "text").mapInArrow(made, "node bigint, hashes binary, weights binary")
+    return keyed.join(wanted.hint("merge"), same).select("node", "text").mapInArrow(made, "node bigint, hashes binary, weights binary")
 
 
 def plausible(members: DataFrame, least: float) -> DataFrame:

@@ -216,13 +216,14 @@ def links(rows: DataFrame, *, cosine: float = COSINE, window: int = WINDOW, miss
     A pair at the threshold is missed with a chance of at most ``missed`` as measured: a pair
     counts as met once one of its two has, so only vectors that have not go on, among
     themselves, with as many passes as the slow tenth of them needs.  Once comparing all
-    that are left is cheaper, or after ``ROUNDS``, that is done and misses nothing.
+    that are left is cheaper, or after ``ROUNDS``, that is done and misses nothing; the first
+    passes go over all vectors, however few.
     """
     spark, found, done = rows.sparkSession, [], 0
     rest, count = rows.select("vec_id", "size", "data", F.lit(0.0).alias("missed")), rows.count()
     number = passes(count, cosine=cosine, window=window, missed=missed)
-    for _ in range(ROUNDS):
-        if count <= 4 * window * number:
+    for turn in range(ROUNDS):
+        if not count or turn and count <= 4 * window * number:
             break
         number = min(number, ROUND_PASSES)
         got = cut(neighbour_links(rest.drop("missed"), number, first_pass=done, cosine=cosine, window=window), "links")

@@ -538,7 +538,7 @@ def put(name: str, sql: str) -> None:
 
 def _shown(sql: str) -> str:
     """Without the evidence that only the whole finding shows."""
-    return f"SELECT COLUMNS(c -> NOT starts_with(c, 'x_')) FROM ({sql})"
+    return f"SELECT COLUMNS(lambda c: NOT starts_with(c, 'x_')) FROM ({sql})"
 
 
 def rule(name: str, sql: str) -> None:

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 from helpers import found, mails
+from pyspark.sql import functions as F
 
 from mailsieve.operators import attachments, domains, headers, reputation, temporal
 
@@ -188,3 +189,20 @@ def test_missing_feed_means_no_finding(spark):
     only_phish = reputation.combine(None, phish, spark)
     assert found(reputation.add(df, only_phish), "reputation_findings") == [[("phishtank_listed", "CRITICAL")]]
     assert found(reputation.add(df, None), "reputation_findings") == [[]]
+
+
+def test_every_entry_of_a_link_counts(spark):
+    """A URL that the feeds list more than once: one finding an entry, the malware feed's first."""
+    malware, phish = feeds(spark)
+    malware = malware.unionByName(malware.withColumn("id", F.lit("9"))).unionByName(malware)
+    phish = phish.unionByName(phish.withColumn("phish_id", F.lit("q")))
+    listed = reputation.combine(malware, phish, spark)
+    df = reputation.with_urls(mails(spark, dict(body="http://bad.example/x http://bad.example/x http://no.example/z"), dict(body="none")))
+    want = [[("urlhaus_listed", "CRITICAL")] * 3 + [("phishtank_listed", "CRITICAL")] * 2, []]
+    for done in (reputation.add(df, listed), reputation.add(df, listed, limit=0), reputation.add(df, listed, max_urls=None)):
+        assert found(done, "reputation_findings") == want
+        ids = [f["evidence"].get("urlhaus_id") or f["evidence"]["phish_id"] for r in done.where("email_id = 0").collect() for f in r["reputation_findings"]]
+        assert ids[:3] == ["7", "7", "9"] and "q" in ids[3:]
+    links = reputation.explode(mails(spark, dict(body="http://bad.example/x")))
+    for limit in (0, 1 << 26):
+        assert reputation.long_findings(links, listed, limit=limit).count() == 5

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsieve.functions.shared import cut, new_path, unused
+from mailsieve.functions.shared import new_path, unused
 from mailsieve.llm import mixing, neardup, packing, secrets, toxicity
 from mailsieve.llm.queries import SHARES
 
@@ -49,20 +50,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, SHARES).orderBy("mix_slot", "mix_place").select(*docs.columns)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in the sequences, which follow the mix.
+def _ordered(docs: DataFrame, place: str, row: str) -> DataFrame:
+    """``docs`` with two columns to sort by: file and row of what is read from files, in which the
+    stage before wrote it.  Rows of no file have no order; they are mixed here."""
+    try:
+        read = docs.metadataColumn("_metadata")
+        return docs.withColumns({place: read["file_name"], row: read["row_index"]})
+    except AnalysisException:
+        return mixing.mix(docs, SHARES).withColumnsRenamed({"mix_slot": place, "mix_place": row})
 
-    Files keep no order between rows, so the slots are worked out again, on rows without text.
-    """
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the sequences, which follow the rows as the mix wrote them."""
     import public_tokenizers
 
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    pieces = packing.cut_documents(rows, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, carry=("source", "_row"))
+    order = unused(docs, "place"), unused(docs, "row")
+    pieces = packing.cut_documents(_ordered(docs, *order), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, carry=order)
     shown = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    pieces = cut(pieces.withColumn("ids_crc32", F.crc32("ids")).select(*shown, "source", "_row"), "slices")
-    slots = mixing.mix(pieces.where("start = 0").select("_row", "doc_id", "source"), SHARES).select("_row", "mix_slot", "mix_place")
-    placed = packing.place(pieces.drop("source").join(slots, "_row"), order=("mix_slot", "mix_place", "start"))
-    return placed.select(*shown, "class", "sequence_id", "offset")
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).select(*shown, *order)
+    return packing.place(pieces, order=(*order, "start")).select(*shown, "class", "sequence_id", "offset")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -280,3 +281,15 @@ def test_sequences_follow_the_mix(spark, sf_dir):
                 early[names[r.doc_id]] += r.length
         for s, n in shares.items():
             assert abs(early[s] / sum(early.values()) - n / 30) < 0.05
+
+
+def test_sequences_follow_the_files(spark, sf_dir, tmp_path):
+    """What the stage before wrote is packed in the order of its files and rows."""
+    rows = [(i, "one two three " * 60, "src0" if i % 7 else "src1") for i in range(600)]
+    for down in (False, True):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+        docs.orderBy(F.desc("doc_id") if down else "doc_id").write.option("maxRecordsPerFile", 90).parquet(str(tmp_path / str(down)))
+        placed = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / str(down))), sf_dir).collect()
+        wanted = [r[0] for r in (rows[::-1] if down else rows)]
+        at = {r.doc_id: r.sequence_id for r in placed if r.start == 0}
+        assert all(at[a] <= at[b] + 1 for a, b in zip(wanted, wanted[100:]))

@@ -105,3 +105,15 @@ def test_tags_of_a_listed_link(spark):
     feed = spark.createDataFrame(rows, "url string, query_status string, threat string, url_status string, tags array<string>, id string")
     size = lambda **kw: len(reputation.combine(feed, None, spark, **kw).first()["malware"]["tags"])
     assert (size(), size(max_tags=None), size(max_tags=12)) == (10, 14, 12)
+
+
+def test_posted_lines_take_files_by_their_number(spark, sf_dir, monkeypatch):
+    """No task writes a fixed share of all mails, however many there are."""
+    from mailsieve.catalog import spark_queries
+
+    monkeypatch.setattr(spark_queries, "POSTED_ROWS", 20, raising=False)
+    posted = spark.read.text(spark_queries._posted(spark, sf_dir))
+    rows = [r["n"] for r in posted.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and max(rows) <= 20
+    got = spark_queries.QUERIES["src_json_stream"](spark, sf_dir)
+    assert got.count() == sum(rows)

@@ -186,3 +186,13 @@ def test_parts_show_whole_versions_only(spark, tmp_path):
     parts.drop(["a"])
     assert [r.v for r in parts.read().collect()] == [2] and parts.read(["c"]).count() == 0
     assert parts.read().where(F.col("v") > 5).count() == 0
+
+
+def test_landing_rows_are_written_once(spark, monkeypatch):
+    """A slice goes from the table to the folder it lands in, without a copy of the whole table between."""
+    from mailsieve.catalog import spark_queries
+
+    monkeypatch.setattr(spark_queries, "cut_lineage", lambda df: pytest.fail("the landing rows are copied"))
+    rows = spark.range(30).selectExpr("id", "'x' AS text", "CAST(id % 3 AS INT) AS _slice")
+    out = spark_queries._live(rows, lambda folder: lambda batch, number: batch.select("id"))
+    assert sorted(r.id for r in out.collect()) == list(range(30))

@@ -196,3 +196,11 @@ def test_landing_rows_are_written_once(spark, monkeypatch):
     rows = spark.range(30).selectExpr("id", "'x' AS text", "CAST(id % 3 AS INT) AS _slice")
     out = spark_queries._live(rows, lambda folder: lambda batch, number: batch.select("id"))
     assert sorted(r.id for r in out.collect()) == list(range(30))
+
+
+def test_keys_carry_their_times(spark, sf_dir):
+    """The mails are made once for keys and times, without a join of the two."""
+    from mailsieve.catalog import spark_queries, views
+
+    keyed = spark_queries._keyed(spark, sf_dir).select("email_id", "send_ts")
+    assert sorted(map(str, keyed.collect())) == sorted(map(str, views.emails(spark, sf_dir).select("email_id", "send_ts").collect()))
